@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side that a stretch takes in.
@@ -381,7 +381,7 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def redacted(texts: pd.Series) -> pd.Series:
     """Texts without their personal data; null for null."""
     field, out = trained(), []
