@@ -80,7 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 #: The words of a text, as the contracts define them.
-_WORDS = r"list_filter(regexp_split_to_array(coalesce({}, ''), '[\x20\x09-\x0D]+'), x -> x <> '')"
+_WORDS = r"list_filter(regexp_split_to_array(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 _SQL_REPEATS = rf"""
 WITH w AS (SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
@@ -94,7 +94,7 @@ SELECT doc_id, min(i) AS start_word, max(i) + 50 AS end_word, max(i) + 50 - min(
 _SQL_NEAR = rf"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-      ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i : i + 3], ' '))) END AS s FROM w),
+      ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' '))) END AS s FROM w),
 e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
 f AS (SELECT g FROM e GROUP BY g HAVING count(*) > 1),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
@@ -106,5 +106,27 @@ FROM s JOIN (SELECT node, min(lab) AS lab FROM c GROUP BY node) m ON m.node = s.
 """
 
 
+_SQL_QUALITY = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, {_WORDS.format("text")} AS w,
+      list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t),
+r AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, w FROM w WHERE len(w) >= 8),
+h AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS h FROM r),
+d AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) AS n FROM h) WHERE n > 1),
+g AS (SELECT doc_id, sum(CASE WHEN gap < 8 THEN gap ELSE 8 END) AS n FROM
+      (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i), 8) AS gap FROM d) GROUP BY doc_id),
+f AS (SELECT w.doc_id, text, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+      CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+      CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines, CAST(coalesce(g.n, 0) AS BIGINT) AS n_repeat_words
+      FROM w LEFT JOIN g ON g.doc_id = w.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words OR word_chars < 2 * n_words OR word_chars > 14 * n_words OR 10 * n_symbols > n_words
+            OR 10 * n_dup_lines > 3 * n_lines OR 10 * (length(text) - length(regexp_replace(text, '\p{{Lu}}+', '', 'g'))) > 3 * word_chars
+            OR 5 * (length(text) - length(regexp_replace(text, '[0-9]+', '', 'g'))) > word_chars
+            OR 10 * (length(text) - length(replace(text, '!!', ''))) > n_words OR 5 * (length(text) - length(replace(text, 'hahaha', ''))) > word_chars) AS kept
+FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_array": _SQL_REPEATS, "op2_hyperminhash": _SQL_NEAR}
+    return {"op1_suffix_array": _SQL_REPEATS, "op2_hyperminhash": _SQL_NEAR, "op7_quality_cascade": _SQL_QUALITY}
