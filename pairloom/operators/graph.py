@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pairloom.storage import materialise
 
@@ -35,3 +35,26 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         state = tuple(row)
     found = cur.groupBy("u").agg(F.min("v").alias("component"))
     return nodes.join(found, "u", "left").select(F.col("u").alias("node"), F.coalesce("component", "u").alias("component"))
+
+
+def group_id(sources: str | Column) -> Column:
+    """From an array of source names: the hash of their sorted JSON list, written with a blank after each comma."""
+    names = F.array_sort(F.array_distinct(F.transform(sources, lambda s: s.cast("string"))))
+    return F.sha2(F.lower(F.concat(F.lit('["'), F.array_join(names, '", "'), F.lit('"]'))), 256)
+
+
+def unit_hash(digest: Column) -> Column:
+    """The first 64 bits of a hexadecimal digest as a fraction of 2^64."""
+    return F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / F.lit(2.0**64)
+
+
+def hash_split(group: Column, seed: int = 42, train: float = 0.8, validation: float = 0.9) -> Column:
+    """A split that depends on the group and seed alone."""
+    v = unit_hash(F.sha2(F.lower(F.concat(F.lit(f"{seed}:"), group)), 256))
+    return F.when(v < train, "train").when(v < validation, "validation").otherwise("test")
+
+
+def leaks(rows: DataFrame, keys: list[str], split: str = "split") -> DataFrame:
+    """``key, value, splits``: values of ``keys`` that occur in more than one split."""
+    long = rows.select(split, F.explode(F.array(*(F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys))).alias("x"))
+    return long.where("x.value is not null").groupBy("x.key", "x.value").agg(F.countDistinct(split).alias("splits")).where("splits > 1")
