@@ -84,7 +84,7 @@ def clean_html(markup: Column, entities: dict[str, str] | None = None) -> Column
     t = F.regexp_replace(t, r"<[^>]+>", " ")
     for name, char in entities.items():
         t = F.replace(t, F.lit(name), F.lit(char))
-    lines = F.transform(F.split(t, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda x: normalise(x))
+    lines = F.transform(F.split(t, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), lambda x: normalise(x))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
