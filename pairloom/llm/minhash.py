@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from pairloom.llm.bloom import maybe_in
 from pairloom.llm.textvec import Words, chunks, mix
 from pairloom.operators.graph import connected_components
 from pairloom.storage import materialise
@@ -187,7 +188,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     pairs = materialise(_estimated(pairs, reps, least), "pairs")
 
     wanted = pairs.select("x").union(pairs.select("y")).distinct().select(F.col("x").alias("doc_id"))
-    sets = materialise(_sets(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), k), "sets")
+    sets = materialise(_sets(maybe_in(docs, wanted), k), "sets")
     checked = materialise(_verified(pairs, sets, percent), "checked")
     links = checked.where("linked").select("x", "y")
     comps = materialise(connected_components(links, "x", "y"), "components")

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from pairloom.llm.bloom import maybe_in
 from pairloom.llm.textvec import Words, chunks, runs
 from pairloom.storage import materialise
 
@@ -119,6 +120,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
     open_ = contexts.where("kinds > 1")
     places = open_.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("context", "first.at", "first.lo", "first.hi")).alias("places"))
     texts = docs.groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(kept) else docs
+    texts = maybe_in(texts, places.select("doc_id"))
     found = _windows(texts.join(places, "doc_id").select("doc_id", "text", "places"), least)
     found = found.join(open_.select("key", "context", "n"), "context").select("key", "context", "n", F.posexplode("hashes").alias("i", "h"))
     found = materialise(found, "runs")
