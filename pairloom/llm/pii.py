@@ -95,6 +95,8 @@ LABELLED = [
     "email [email|bob [at] example.net] again",
     "reply to [email|max dot roe at example dot org] only",
     "send it to [email|li (at) mail (dot) example (dot) com] now",
+    "[email|kim at example dot com]",
+    "[email|sue at mail dot example dot org] is mine",
     "card [card|4628.8985.7783.3016] expires",
     "pay with [card|4563/7491/9356/1506] please",
     "Visa [card|4111_1111_1111_1111] was charged",

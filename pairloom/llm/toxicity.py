@@ -127,7 +127,8 @@ def _count_batches(batches):
 def distinct(sample: Sample) -> Sample:
     """One document of each group of near copies, which else would make a group's own words look telling.
 
-    Documents are grouped that agree in two of the MinHash values of their less frequent words, for any of three pairs.
+    Documents are compared that agree in two of the MinHash values of their less frequent words, for any of three pairs,
+    and grouped if they share six tenths of their words.
     """
     n = len(sample.labels)
     _, at, df = np.unique(sample.word, return_inverse=True, return_counts=True)
@@ -142,6 +143,7 @@ def distinct(sample: Sample) -> Sample:
         return i
 
     some = np.unique(row)
+    bounds = np.searchsorted(sample.row, np.arange(n + 1))
     for pair in range(3):
         least = np.full((2, n), np.iinfo(np.uint64).max, _U)
         for k in range(2):
@@ -150,7 +152,11 @@ def distinct(sample: Sample) -> Sample:
         for i in some.tolist():
             j = first.setdefault((int(least[0, i]), int(least[1, i])), i)
             a, b = find(i), find(j)
-            root[max(a, b)] = min(a, b)
+            if a != b:
+                x, y = (sample.word[bounds[k] : bounds[k + 1]] for k in (i, j))
+                common = len(np.intersect1d(x, y))
+                if 10 * common >= 6 * (len(x) + len(y) - common):
+                    root[max(a, b)] = min(a, b)
     keep = np.array([find(i) == i for i in range(n)], bool)
     place = np.cumsum(keep) - 1
     mine = keep[sample.row]

@@ -1,0 +1,297 @@
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from pairloom.llm import bpe, decontam, langid, minhash, pii, quality, records, sharding, suffixes, textvec, toxicity
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+rng = random.Random(5)
+VOCAB = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(300)]
+
+
+def prose(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice(VOCAB) for _ in range(n))
+
+
+EDGE = [(100, None), (101, ""), (102, " \t\n"), (103, "é"), (104, "One two"), (104, "One two"), (105, "x" * 5000), (106, "日本 語\x00!")]
+
+
+def frame(spark, rows, extra=False):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return df.withColumns({"rep": F.lit(1), "n_words": F.lit("clash"), "hash": F.lit(0.5)}) if extra else df
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def test_near_duplicates_match_brute_force(spark):
+    base = prose(120, 1).split()
+    rows = list(EDGE)
+    for i in range(60):
+        w = list(base)
+        for _ in range(i % 9):
+            w[rng.randrange(len(w))] = rng.choice(VOCAB)
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, prose(40, 50 + i)) for i in range(20)]
+    got = {r.doc_id: r for r in minhash.near_duplicates(frame(spark, rows, True), k=4).collect()}
+
+    def shingles(t):
+        w = WORD.findall(lower(t))
+        return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} or ({tuple(w)} if w else set())
+
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
+
+
+def test_near_duplicates_of_nothing(spark):
+    assert minhash.near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_estimate():
+    a, b = (np.sort(textvec.mix(np.arange(n, dtype=np.uint64))) for n in (1000, 800))
+    x, y = minhash.registers(a)[None], minhash.registers(b)[None]
+    assert abs(minhash.jaccard_estimate(x, y, np.array([len(a)]), np.array([len(b)]))[0] - 0.8) < 0.15
+
+
+def test_repeated_passages_match_brute_force(spark):
+    passage = prose(90, 3)
+    rows = [*EDGE, (1, prose(60, 4) + " " + passage), (2, passage.upper() + " " + prose(70, 5)), (3, prose(30, 6) + " " + " ".join(passage.split()[20:75])), (4, prose(300, 7)), (5, " ".join([prose(55, 8)] * 2)), (6, "a " * 120)]
+    got = {tuple(r) for r in suffixes.repeated_passages(frame(spark, rows, True)).select("doc_id", "start_word", "end_word").collect()}
+    count, want, done = collections.Counter(), set(), set()
+    words = {i: WORD.findall(lower(t)) for i, t in rows}
+    runs = {i: [tuple(w[k : k + 50]) for k in range(len(w) - 49)] for i, w in words.items()}
+    for i in runs:
+        count.update(runs[i])
+    for i, own in runs.items():
+        cur = None
+        for k, x in enumerate(own):
+            if count[x] > 1:
+                if cur and k <= cur[1]:
+                    cur[1] = k + 50
+                else:
+                    if cur:
+                        want.add((i, *cur))
+                    cur = [k, k + 50]
+        if cur:
+            want.add((i, *cur))
+    assert got == want and {1, 2, 3, 5, 6} == {i for i, *_ in want}
+    assert suffixes.repeated_passages(frame(spark, [])).count() == 0
+
+
+def test_pii_base_patterns():
+    r = random.Random(2)
+    for _ in range(5000):
+        x = "".join(r.choice(["1", "23", "456", "@", "a", "b.c", ".", "-", " ", "+", "(", "é", "0000", "4111111111111111"]) for _ in range(r.randint(1, 24)))
+        want = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", x)]
+        want += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", x) if all(int(p) <= 255 for p in m[0].split("."))]
+        digits = lambda s: re.sub("[^0-9]", "", s)
+        want += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", x) if 16 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))]
+        want += [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", x) if 8 <= len(digits(m[0])) <= 15]
+        assert pii.base_spans(x) == want
+
+
+def test_pii_field(spark):
+    found = pii.trained().spans(["ring (956) 555-0122 now", "kim at foo dot com", "in 2004 we saw 34 of 55", ""])
+    assert [[k for k, *_ in f] for f in found] == [["phone"], ["email"], [], []]
+    rows = pii.find_pii(frame(spark, [*EDGE, (1, "a@b.co +1 (956) 555-0122")], True)).collect()
+    by = {r.doc_id: r for r in rows}
+    assert (by[1].n_email, by[1].n_phone) == (1, 1) and by[100].spans == "" and len(rows) == len(EDGE) + 1
+    assert by[100].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert pii.redact("x a@b.co y", [("email", 2, 8)]) == "x <EMAIL> y"
+
+
+def test_viterbi_is_best_path():
+    field = pii.trained()
+    words = "call (956) 555-0122 or kim at foo dot com".split()
+    codes = field.code(words)
+    e, trans = field.emissions(codes), field.moves + field.allowed
+    best = field.viterbi([codes, codes[:2]])[0]
+    score = lambda p: field.first[p[0]] + sum(e[i, x] for i, x in enumerate(p)) + sum(trans[a, b] for a, b in zip(p, p[1:]))
+    r = random.Random(1)
+    for _ in range(3000):
+        p = list(best)
+        for _ in range(r.randint(1, 3)):
+            p[r.randrange(len(p))] = r.randrange(len(pii.LABELS))
+        assert score(p) <= score(list(best)) + 1e-9
+
+
+def test_decontamination(spark):
+    item = "A train travels 60 km in 2 hours and then 60 km more, how far does Alice go in total today"
+    bench = frame(spark, [(1, item), (2, "too short"), (3, None), (4, "")]).withColumnRenamed("doc_id", "item_id")
+    docs = [
+        *EDGE,
+        (1, f"so. {item.replace('60', '75').replace('Alice', 'Robert')} ok"),
+        (2, item.replace("then 60", "then 80")),
+        (3, "too short"),
+        (5, item),
+        (6, prose(100, 9)),
+    ]
+    got = {(r.doc_id, r.item_id): r.same_values for r in decontam.contamination(frame(spark, docs, True), bench).collect()}
+    assert got == {(1, 1): False, (3, 2): True, (5, 1): True}
+    assert decontam.contamination(frame(spark, docs), bench.where("false")).count() == 0
+    assert decontam.contamination(frame(spark, []), bench).count() == 0
+
+
+def test_toxicity(spark):
+    r = random.Random(3)
+    rows, labels = list(EDGE), []
+    for i in range(1000, 1300):
+        bad = i % 5 == 0
+        words = prose(40, i).split()
+        if bad:
+            for _ in range(r.randint(1, 6)):
+                words[r.randrange(40)] = r.choice(["zzvile", "zzawful"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    labels = spark.createDataFrame([*labels, (None, 1), (5, None)], "doc_id long, toxic int")
+    model = toxicity.train(frame(spark, rows, True), labels)
+    assert (np.diff(model.thresholds) > 0).all() and (model.weights >= 0).all()
+    got = {x.doc_id: x for x in toxicity.score(frame(spark, rows, True), model).collect()}
+    assert all(got[i].toxic == (i % 5 == 0) for i in range(1000, 1300)) and not got[100].toxic
+    none = toxicity.train(frame(spark, rows), labels.where("false"))
+    assert toxicity.score(frame(spark, rows), none).where("severity > 0").count() == 0
+
+
+def test_languages(spark):
+    langs = {"xx": "abcd", "yy": "efgh", "zz": "éüñö"}
+    rows = []
+    for i in range(240):
+        lang = list(langs)[i % 3]
+        r = random.Random(i)
+        rows.append((i, " ".join("".join(r.choice(langs[lang]) for _ in range(5)) for _ in range(20)), lang))
+    rows += [(900, None, "xx"), (901, "123 !", None), (902, "", "yy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(docs, langid.train(docs)).collect()}
+    held = [r for r in got.values() if r.held_out and r.doc_id < 900]
+    assert len(held) > 20 and sum(r.lang_pred == rows[r.doc_id][2] for r in held) >= 0.95 * len(held)
+    assert got[900].lang_pred == got[901].lang_pred == got[902].lang_pred == "und"
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in got.values())
+
+
+def test_quality(spark):
+    rows = [*EDGE, (1, prose(60, 1)), (2, " ".join([prose(20, 2)] * 3)), (3, "### " * 40), (4, "a b\n" * 30), (5, prose(30, 3) + "!!" * 40)]
+    got = {r.doc_id: r for r in quality.quality(frame(spark, rows, True)).collect()}
+    for i, t in rows:
+        t = t or ""
+        w = WORD.findall(t)
+        seen = collections.Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        covered = {p for k in range(len(w) - 7) if seen[tuple(w[k : k + 8])] > 1 for p in range(k, k + 8)}
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        want = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and not (r.base_failed and r.kept)
+    assert got[1].kept and not got[5].kept
+    assert quality.cascade_order([("a", 1.0, 0.1), ("b", 0.1, 0.1), ("c", 1.0, 0.9)]) == ["b", "c", "a"]
+    assert quality.quality(frame(spark, [])).count() == 0
+
+
+ODD = ["it's", "don't'll  x", " 's 're", " \n's", "a'sb ''s '", "x  \n\n y", "a b　 d", "<|endoftext|>", "a <|endoftext|>  b<|endoftext|><|endoftext|> ", "🎉🎉 é", "ab" * 60, "١٢٣ ½"]
+
+
+def test_bpe_is_the_library(spark):
+    library = Tokenizer.from_file(PATH)
+    r = random.Random(4)
+    odd = [*ODD, *("".join(r.choice(["'", "s", "re", " ", "  ", "\n", "a", "B", "1", "é", "ß", "日", "!", "<|endoftext|>", "\t", " "]) for _ in range(r.randint(1, 25))) for _ in range(500))]
+    rows = [*EDGE, *((1000 + i, t) for i, t in enumerate(odd)), (1, prose(200, 1)), (2, prose(200, 1))]
+    got = {r.doc_id: r for r in bpe.bpe(frame(spark, rows, True), PATH, with_ids=True).collect()}
+    for i, t in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert got[i].ids == ids and got[i].n_tokens == len(ids)
+        assert got[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_lexicon_shares_suffixes():
+    words = [b"walking", b"talking", b"walk", b"talk", b"king"]
+    lex = bpe.Lexicon.compile(words, [np.array([i, i], np.int32) for i in range(len(words))])
+    data = np.frombuffer(b"".join([*words, b"walks"]), np.uint8)
+    end = np.cumsum([len(w) for w in words] + [5])
+    found = lex.find(data, np.r_[0, end[:-1]], end)
+    assert found[-1] == -1 and sorted(found[:-1].tolist()) == [0, 1, 2, 3, 4]
+    assert [lex.flat[lex.offs[n]] for n in found[:-1]] == [0, 1, 2, 3, 4]
+    assert len(lex.final) < sum(map(len, words))
+
+
+def test_records(spark, tmp_path):
+    library = Tokenizer.from_file(PATH)
+    rows = [*EDGE, (1, prose(100, 1)), (-5, "it's <|endoftext|> é")]
+    files = records.write_records(frame(spark, rows, True), PATH, str(tmp_path / "rec"))
+    got = sorted(map(tuple, records.read_records(files).collect()), key=lambda r: r[1])
+    start, want = 0, []
+    for i, t in sorted(rows, key=lambda r: (r[0], r[1] or "")):
+        ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids)))
+        start += len(ids)
+    assert got == want
+    path = files.first().path
+    assert len(records.read_at(path, [0])) == 1
+    raw = bytearray(open(f"{path}.rec", "rb").read())
+    raw[20] ^= 1
+    open(f"{path}.rec", "wb").write(raw)
+    with pytest.raises(records.CorruptRecord):
+        records.read_at(path, [0])
+    assert records.read_records(records.write_records(frame(spark, []), PATH, str(tmp_path / "none"))).count() == 0
+
+
+def test_sharding(spark):
+    names = [f"s{i}" for i in range(10)]
+    table = sharding.fill(names, 1009)
+    assert np.ptp(np.bincount(table)) <= 1
+    fewer = sharding.fill(names[:-1], 1009)
+    assert (fewer[table != 9] != table[table != 9]).mean() < 0.15
+    got = sharding.assign_shards(frame(spark, [*EDGE, (None, "x")]), names, slots=1009).collect()
+    assert len(got) == len(EDGE) + 1 and all(names[table[r.slot]] == r.shard for r in got)
+    with pytest.raises(ValueError):
+        sharding.fill(names, 1000)
+
+
+def test_chunks_and_hashes():
+    texts = ["a b", None, "", "b  A"]
+    for at, to, data, offs in textvec.chunks(pa.array(texts)):
+        w = textvec.Words(data, offs)
+        assert w.bounds.tolist() == [0, 2, 2, 2, 4] and w.hash[0] == w.hash[3] and w.hash[1] == w.hash[2]
+
+
+def test_pipeline(spark, tmp_path):
+    toxic = [(3000 + i, prose(30, i) + (" zzvile zzawful" if i % 5 == 0 else "")) for i in range(200)]
+    item = prose(30, 7777)
+    rows = [*toxic, (1, prose(80, 1)), (2, prose(80, 1)), (3, prose(20, 5555) + " " + item), (4, prose(30, 6666) + " a@b.co"), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in toxic], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    step = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        step = stage(spark, step, str(tmp_path))
+        assert step.columns == docs.columns
+    left = {r.doc_id: r for r in step.collect()}
+    assert {i for i, _ in toxic if i % 5} <= left.keys() and not any(i >= 3000 and i % 5 == 0 for i in left)
+    assert {1, 4, 5} <= left.keys() and 2 not in left and 3 not in left
+    assert left[4].text.endswith("<EMAIL>") and left[4].n_chars == len(left[4].text) and left[5].text is None
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(left)
