@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pairloom.llm.textvec import mix
+from pairloom.llm.textvec import map_batches, mix
 
 #: 64-bit words of the filter: 8 MB, whatever the data. More ids make it let more through.
 WORDS = 1 << 20
@@ -42,4 +42,4 @@ def maybe_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
             hit = (filled.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
             yield batch.filter(pa.array(hit.all(0)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

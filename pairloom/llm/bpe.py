@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pairloom.llm.pretok import pretokens
 from pairloom.llm.shared import open_shared, rename_shared
-from pairloom.llm.textvec import _TABLE, chunks, runs
+from pairloom.llm.textvec import _TABLE, chunks, map_batches, runs
 from pairloom.storage import shared_dir
 
 #: Rows from which frequent words are gathered, and the most words of a lexicon.
@@ -502,4 +502,4 @@ def bpe(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFra
                     columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema)

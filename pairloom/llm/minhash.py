@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.llm.bloom import maybe_in
-from pairloom.llm.textvec import Words, chunks, mix
+from pairloom.llm.textvec import Words, chunks, map_batches, mix
 from pairloom.operators.graph import connected_components
 from pairloom.storage import materialise
 
@@ -113,7 +113,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                     ["doc_id", "n_shingles", "k1", "k2", "bands", "regs"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema)
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -123,7 +123,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 sets = [s.tobytes() for s in shingle_sets(data, offs, k)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(sets, pa.binary())], ["rep", "sh"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "rep long, sh binary")
+    return map_batches(docs.select("doc_id", "text"), run, "rep long, sh binary")
 
 
 def _estimated(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
@@ -160,7 +160,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 rest.append(p[~inside].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(rest, pa.list_(pa.int64()))], ["x", "y", "linked", "rest"])
 
-    return rows.mapInArrow(run, "x long, y long, linked boolean, rest array<long>")
+    return map_batches(rows, run, "x long, y long, linked boolean, rest array<long>")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

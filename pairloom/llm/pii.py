@@ -20,6 +20,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from pairloom.llm.textvec import map_batches
+
 KINDS = ("email", "ip", "card", "phone")
 #: Words on either side that a stretch takes in.
 REACH = 3
@@ -411,4 +413,4 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema)

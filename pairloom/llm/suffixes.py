@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.llm.bloom import maybe_in
-from pairloom.llm.textvec import Words, chunks, runs
+from pairloom.llm.textvec import Words, chunks, map_batches, runs
 from pairloom.storage import materialise
 
 #: Words of a repeated passage, at least; words by which suffixes are sorted first.
@@ -80,7 +80,7 @@ def _suffixes(docs: DataFrame, least: int) -> DataFrame:
                     ["doc_id", "at", "lo", "hi", "key", "context"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, at int, lo int, hi int, key long, context long")
+    return map_batches(docs, run, "doc_id long, at int, lo int, hi int, key long, context long")
 
 
 def _windows(docs: DataFrame, least: int) -> DataFrame:
@@ -101,7 +101,7 @@ def _windows(docs: DataFrame, least: int) -> DataFrame:
                 found = runs(words.hash, start, start + least, "word").view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(context), pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(found))], ["context", "hashes"])
 
-    return docs.mapInArrow(run, "context long, hashes array<long>")
+    return map_batches(docs, run, "context long, hashes array<long>")
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST) -> DataFrame:

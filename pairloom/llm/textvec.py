@@ -11,9 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Texts are handled together up to so many bytes; one longer text is handled alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 17
+#: Rows that go to a Python worker at once; they are in memory as many times as there are task slots.
+BATCH_ROWS = 1000
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -57,6 +60,14 @@ def runs(values: np.ndarray, start: np.ndarray, end: np.ndarray, kind: str) -> n
     return mix((total[end] - total[start]) * _power(kind, True, len(values) + 1)[start])
 
 
+def map_batches(rows: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` of wide rows. The session's rows per Arrow batch are lowered to ``BATCH_ROWS`` if it has more."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, BATCH_ROWS)
+    return rows.mapInArrow(run, schema)
+
+
 def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, row after the last, bytes, offsets)``; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

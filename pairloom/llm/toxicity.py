@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from pairloom.llm.textvec import FOLDED, NON_LETTERS, Words, chunks, mix, runs
+from pairloom.llm.textvec import FOLDED, NON_LETTERS, Words, chunks, map_batches, mix, runs
 
 #: Graded documents that a model is fitted on, at most, and words it may use.
 TRAIN_ROWS, MAX_WORDS, LEAST_DOCS = 6000, 400, 8
@@ -93,7 +93,7 @@ def gather(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROW
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     # At most ``rows`` labels are broadcast.
-    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(_count_batches, "doc_id long, label int, digest long, words binary, counts binary")
+    found = map_batches(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text"), _count_batches, "doc_id long, label int, digest long, words binary, counts binary")
     table = found.toArrow().sort_by([("doc_id", "ascending"), ("digest", "ascending")])
     label_of, row, word, count, lengths, seen = [], [], [], [], [], set()
     for y, digest, w, c in zip(*(table.column(k).to_pylist() for k in ("label", "digest", "words", "counts"))):
@@ -245,7 +245,7 @@ def score(docs: DataFrame, model: Ordinal, threshold: float = 0.5) -> DataFrame:
                 )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, severity double, p_toxic double, grade long, toxic boolean")
+    return map_batches(texts, run, "doc_id long, severity double, p_toxic double, grade long, toxic boolean")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, graded: bool = False) -> Ordinal:
