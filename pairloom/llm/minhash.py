@@ -6,10 +6,11 @@ into borrow from the first filled bucket of a fixed random order. Bands of regis
 collision-corrected Jaccard estimate thins them, and full shingle sets confirm them.
 
 Candidates stay linear in the input although a group of near copies may hold a third of all rows: documents with equal
-sets are first folded into one representative; a bucket compares each member with one leader, the member that the most
-other documents share buckets with; and what a member has beyond its leader's set proposes further pairs. If x is not
-similar to its leader, any y at least as large as the leader that is similar to x shares a shingle with x outside the
-leader's set, so the second round looks at exactly those shingles.
+sets are first folded into one representative, and a bucket compares each member with one leader, the member that the
+most other documents share buckets with. Then any two members of a bucket that these links leave in different components
+are compared, whatever became of their comparisons with the leader. So all pairs that share a bucket are compared or
+known to be connected; the work of the second round grows with the square of the members outside a bucket's largest
+component, and with their number times that component's.
 
 Empty texts (null, no words) have an empty set and are linked with nothing. Repeated rows of one id count once.
 """
@@ -33,6 +34,8 @@ M, MANTISSA, BANDS, ROWS = 128, 10, 32, 4
 SLACK = 0.25
 #: The estimate says little about smaller sets, which are verified without it.
 SMALL_SET = 64
+#: Members of a bucket that are compared at once with as many others.
+BLOCK = 1024
 
 _U = np.uint64
 _PROBES = np.array([np.random.default_rng(7 + i).permutation(M) for i in range(M)])
@@ -144,23 +147,71 @@ def _estimated(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``x, y, linked, rest``: rest has the hashes of x's shingles that y lacks."""
+    """``x, y, linked``."""
     rows = pairs.join(sets.select(F.col("rep").alias("x"), F.col("sh").alias("sx")), "x").join(sets.select(F.col("rep").alias("y"), F.col("sh").alias("sy")), "y").select("x", "y", "sx", "sy")
 
     def run(batches):
         for batch in batches:
-            linked, rest = [], []
+            linked = []
             for p, q in zip(batch.column(2), batch.column(3)):
                 p, q = np.frombuffer(p.as_buffer(), _U), np.frombuffer(q.as_buffer(), _U)
                 at = np.searchsorted(q, p)
                 at[at == len(q)] = 0
-                inside = q[at] == p
-                inter = int(inside.sum())
+                inter = int((q[at] == p).sum())
                 linked.append(100 * inter >= percent * (len(p) + len(q) - inter))
-                rest.append(p[~inside].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()), pa.array(rest, pa.list_(pa.int64()))], ["x", "y", "linked", "rest"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["x", "y", "linked"])
 
-    return map_batches(rows, run, "x long, y long, linked boolean, rest array<long>")
+    return map_batches(rows, run, "x long, y long, linked boolean")
+
+
+def _crossing(band: DataFrame) -> DataFrame:
+    """``bk, x, component, i, j, side``: a group for each two blocks of a bucket's members that are to be compared.
+
+    ``band(bk, x, component)``. Members of the bucket's largest component are never compared among themselves, so the
+    work grows with the number of the others. Blocks j below zero are those of the largest component.
+    """
+    count = band.groupBy("bk", "component").agg(F.count("*").alias("n"))
+    tops = count.groupBy("bk").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("c"))
+    tops = tops.select("bk", F.col("top.component").alias("top"), F.ceil(F.col("top.n") / BLOCK).alias("nb"), F.ceil((F.col("c") - F.col("top.n")) / BLOCK).alias("nr")).where("nr > 0")
+    rows = band.join(tops, "bk").withColumn("main", F.col("component") == F.col("top"))
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("x"), F.when(F.col("main"), F.col("nb")).otherwise(F.col("nr"))))
+    b, none, last = F.col("b"), F.lit(0).cast("long"), F.col("nr") - 1
+    main = F.transform(F.sequence(none, last), lambda i: F.struct(i.alias("i"), (-1 - b).alias("j"), F.lit(True).alias("side")))
+    other = F.transform(
+        F.sequence(-F.col("nb"), last),
+        lambda j: F.struct(F.when(j < 0, b).otherwise(F.least(b, j)).alias("i"), F.when(j < 0, j).otherwise(F.greatest(b, j)).alias("j"), ((j >= 0) & (j < b)).alias("side")),
+    )
+    return rows.select("bk", "x", "component", F.explode(F.when(F.col("main"), main).otherwise(other)).alias("g")).select("bk", "x", "component", "g.*")
+
+
+def _across(band: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
+    """``x, y``: pairs of different components that share a bucket of ``band(bk, x, component)`` and may reach the threshold.
+
+    Registers that agree by accident only add to the agreement, so it can stand for the estimate.
+    """
+    rows = _crossing(band).join(sigs.select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), "regs"), "x")
+
+    def run(group: pa.Table) -> pa.Table:
+        x, comp, n, side = (group.column(c).to_numpy() for c in ("x", "component", "n", "side"))
+        regs = np.frombuffer(b"".join(group.column("regs").to_pylist()), np.uint16).reshape(-1, M)
+        own = group.column("i")[0].as_py() == group.column("j")[0].as_py()
+        p, q = np.flatnonzero(~side), np.flatnonzero(side)
+        q = p if own else q
+        found = [np.zeros((0, 2), np.int64)]
+        for at in range(0, len(p), 64):
+            a = p[at : at + 64, None]
+            u, v = np.nonzero((comp[a] != comp[q]) & (np.minimum(n[a], n[q]) >= np.maximum(n[a], n[q]) * least))
+            u, v = a[u, 0], q[v]
+            if own:
+                u, v = u[u < v], v[u < v]
+            for k in range(0, len(u), 16384):
+                s, t = u[k : k + 16384], v[k : k + 16384]
+                keep = ((regs[s] == regs[t]).mean(1) >= least - SLACK) | (np.minimum(n[s], n[t]) <= SMALL_SET)
+                found.append(np.column_stack([x[s[keep]], x[t[keep]]]))
+        pairs = np.sort(np.concatenate(found), 1)
+        return pa.table({"x": pairs[:, 0], "y": pairs[:, 1]})
+
+    return rows.groupBy("bk", "i", "j").applyInArrow(run, "x long, y long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -193,15 +244,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = checked.where("linked").select("x", "y")
     comps = materialise(connected_components(links, "x", "y"), "components")
 
-    # What members have beyond their leader's set: where such a shingle is shared across components, compare again.
-    rest = checked.select("x", "y", F.explode("rest").alias("s"))
-    rest = rest.groupBy("y", "s", "x").agg(F.lit(1).alias("one")).join(comps.select(F.col("node").alias("x"), "component"), "x", "left")
-    rest = materialise(rest.select("x", "y", "s", F.coalesce("component", "x").alias("component")), "rest")
-    split = rest.groupBy("y", "s").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("component", "x")).alias("z")).where("lo < hi")
-    again = rest.join(split.select("y", "s", "lo", F.col("z.x").alias("z")), ["y", "s"]).where("component <> lo").select("x", F.col("z").alias("y")).distinct()
-    again = again.join(checked.select("x", "y"), ["x", "y"], "left_anti")
-    more = materialise(_verified(_estimated(again, reps, least), sets, percent).where("linked").select("x", "y"), "more")
-    if not more.isEmpty():
+    # Members of a bucket that no leader linked are compared with each other. The leader has met them all.
+    named = comps.select(F.col("node").alias("x"), "component")
+    left = band.join(leads, "bk").where(F.col("x") != -F.col("top.m")).select("bk", "x").join(named, "x", "left")
+    left = left.select("bk", "x", F.coalesce("component", "x").alias("component")).distinct()
+    done = checked.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    again = materialise(_across(left, reps.dropDuplicates(["doc_id"]), least).join(done, ["x", "y"], "left_anti"), "across")
+    if not again.isEmpty():
+        wanted = again.select("x").union(again.select("y")).distinct().select(F.col("x").alias("doc_id"))
+        more = materialise(_verified(again, _sets(maybe_in(docs, wanted), k), percent).where("linked").select("x", "y"), "more")
         comps = materialise(connected_components(links.union(more), "x", "y"), "components")
 
     # The smallest id of a component is a representative, since representatives are the smallest of their sets.

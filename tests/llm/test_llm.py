@@ -68,6 +68,60 @@ def test_near_duplicates_match_brute_force(spark):
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
 
 
+def fresh(r, n):
+    return [f"w{r.randrange(10**9)}" for _ in range(n)]
+
+
+def changed(r, words, n):
+    out = list(words)
+    for i in range(n):
+        out[i * len(words) // n] = fresh(r, 1)[0]
+    return out
+
+
+def signed(words, k=4):
+    """Band keys, and for each register the place of its least shingle."""
+    text = pa.array([" ".join(words)])
+    _, _, data, offs = next(iter(textvec.chunks(text)))
+    grams = textvec.Words(data, offs).grams(k)[: len(words) - k + 1]
+    least = {}
+    for at in np.argsort(grams).tolist():
+        least.setdefault(int(grams[at] >> np.uint64(57)), at)
+    return minhash.bands(minhash.registers(np.unique(grams))), least
+
+
+def hubs(r, x, y, variants, but=()):
+    """Short texts of passages of x, so that one of them is in each bucket x and y share and known to more others."""
+    (bx, least), (by, _) = signed(x), signed(y)
+    assert len(least) == minhash.M
+    out = []
+    for b in np.flatnonzero((bx == by) & ~np.isin(np.arange(len(bx)), but)).tolist():
+        starts = [min(max(least[b * minhash.ROWS + i] - 12, 0), len(x) - 28) for i in range(minhash.ROWS)]
+        passages = [w for s in starts for w in x[s : s + 28]]
+        out += [passages + fresh(r, 1) for _ in range(variants)]
+    return out
+
+
+def linked(spark, texts):
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, [(i, " ".join(w)) for i, w in enumerate(texts)]), k=4).collect()}
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in texts]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if c in (a, b) else c for c in root]
+    return got, dict(enumerate(root))
+
+
+def test_near_copies_whose_leaders_are_unlike_them(spark):
+    r = random.Random(21)
+    x = fresh(r, 1500)
+    y = changed(r, x, 35)
+    got, want = linked(spark, [x, y, *hubs(r, x, y, 8)])
+    assert want[1] == 0 and got == want
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
