@@ -2,8 +2,9 @@
 
 Both texts and benchmark items are turned into templates: numbers, units after numbers, and names (capitalised words
 inside a sentence) become typed placeholders, other words lower case. Windows of ``WINDOW`` template words are joined by
-hash. Along a diagonal (the same distance between places in text and item) the values of the slots must map one to one,
-so an item with other numbers or names is found, and a text that merely has the same frame with clashing values is not.
+hash. Along a diagonal (the same distance between places in text and item) each slot value of the item must have one
+value in the text, so an item with other numbers or names is found; two of its values may become the same. Windows that
+hold a value with several values in the text don't count.
 A text contains an item if consistent windows make up ``percent`` of the item's.
 
 Texts that hold none of the items' anchor words (see ``anchors``) are left out before they are cut into windows.
@@ -111,10 +112,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
     item = item.drop("word")
     found = windows(docs, "doc_id").withColumn("slots", F.coalesce("slots", none)).join(F.broadcast(item) if small else item, "hash")
     pairs = F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))
-    lines = found.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-    apart = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    lines = lines.where((apart("i") == F.size("pairs")) & (apart("d") == F.size("pairs")))
-    lines = lines.select("doc_id", "item_id", "places", F.forall("pairs", lambda p: p["i"] == p["d"]).alias("same"))
+    windowed = F.collect_set(F.struct("item_at", pairs.alias("pairs"))).alias("windows")
+    lines = found.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(windowed)
+    lines = lines.withColumn("pairs", F.array_distinct(F.flatten("windows.pairs")))
+    # Item values that the text gives two values; only windows that hold one are left out.
+    lines = lines.withColumn("clash", F.filter("pairs", lambda p: F.exists("pairs", lambda o: (o["i"] == p["i"]) & (o["d"] != p["d"])))["i"])
+    kept = F.filter("windows", lambda w: ~F.exists(w["pairs"], lambda p: F.array_contains("clash", p["i"])))["item_at"]
+    lines = lines.select("doc_id", "item_id", kept.alias("places"), F.forall("pairs", lambda p: p["i"] == p["d"]).alias("same")).where(F.size("places") > 0)
     per = lines.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"), F.bool_and("same").alias("same_values"))
     out = per.join(F.broadcast(size) if small else size, "item_id").where(F.col("n_windows") * 100 >= percent * F.col("item_windows"))
     return out.select("doc_id", "item_id", "n_windows", "item_windows", "same_values")

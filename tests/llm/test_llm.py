@@ -211,6 +211,18 @@ def test_decontamination(spark):
     assert decontam.contamination(frame(spark, []), bench).count() == 0
 
 
+def test_decontamination_of_values_that_become_equal(spark):
+    item = "there are 3 apples and 5 pears in the basket on the table near the door so how many pieces of fruit are there altogether in it and who put 6 more of them down"
+    bench = frame(spark, [(1, item)]).withColumnRenamed("doc_id", "item_id")
+    docs = [(1, item.replace("3", "4").replace("5", "4")), (2, item), (3, item.replace("3", "6").replace("6", "9"))]
+    got = {r.doc_id: r.same_values for r in decontam.contamination(frame(spark, docs), bench).collect()}
+    assert got == {1: False, 2: True, 3: False}
+    twice = "we saw 7 boats on the long grey river that winds down from the old mill to the sea and then in the evening of that same day came home with 7 fish"
+    docs = [(1, twice.replace("7 fish", "8 fish"))]
+    got = {r.doc_id: (r.n_windows < r.item_windows, r.same_values) for r in decontam.contamination(frame(spark, docs), frame(spark, [(1, twice)]).withColumnRenamed("doc_id", "item_id")).collect()}
+    assert got == {1: (True, False)}
+
+
 def test_toxicity(spark):
     r = random.Random(3)
     rows, labels = list(EDGE), []
