@@ -10,8 +10,8 @@ A text contains an item if consistent windows make up ``percent`` of the item's.
 Texts that hold none of the items' anchor words (see ``anchors``) are left out before they are cut into windows.
 
 An item window counts only if at least ``LITERAL`` of its words are no placeholders. Texts and items of fewer than
-``WINDOW`` words are one window, so a short item is only found in a text that is nothing else. Null and empty texts have
-no windows. Repeated rows of one id are one document, repeated items count once each under their own id.
+``WINDOW`` words are one window. Items that have fewer than ``WINDOW`` windows are also looked for word by word in texts
+of any length, where they count as whole. Null and empty texts have no windows. Repeated rows of one id are one document, repeated items count once each under their own id.
 """
 
 from __future__ import annotations
@@ -93,6 +93,25 @@ def anchors(item: DataFrame, size: DataFrame, percent: int) -> DataFrame:
     return ranked.where(F.col("rank") <= may_miss + 1).select(F.xxhash64("word.w").alias("hash")).distinct()
 
 
+def verbatim(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``doc_id, item_id`` where a text holds all words of an item in a row, A-Z and others in lower case.
+
+    Texts are cut into windows of each of the items' lengths, so ``items`` should be few and short.
+    """
+    bare = lambda rows, key: rows.select(key, words(F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("w"))
+    item = bare(items, "item_id").where(F.size("w") > 0).select("item_id", F.size("w").alias("n"), F.xxhash64("w").alias("hash"))
+    lengths = [r.n for r in item.select("n").distinct().collect()]
+    if not lengths:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long")
+
+    def cut(n: int) -> Column:
+        starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice("w", i, n)).alias("hash"))))
+
+    rows = bare(docs, "doc_id").select("doc_id", F.explode(F.concat(*map(cut, sorted(lengths)))).alias("c")).select("doc_id", "c.n", "c.hash")
+    return rows.join(F.broadcast(item), ["n", "hash"]).select("doc_id", "item_id").distinct()
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, item_id, n_windows, item_windows, same_values`` of each item that a text contains.
 
@@ -105,6 +124,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
     item = item.withColumn("item_slots", F.coalesce("item_slots", none)).where((F.size("item_slots") <= WINDOW - LITERAL) & F.col("word").isNotNull())
     item = materialise(item.dropDuplicates(["item_id", "item_at"]), "items")
     size = item.groupBy("item_id").agg(F.count("*").alias("item_windows"))
+    # Items that no window, or only all of their windows, could find; the templates find others of their copies.
+    few = items.join(size, "item_id", "left").where(F.coalesce("item_windows", F.lit(0)) < WINDOW).select("item_id", "text", "item_windows")
+    few = materialise(few.dropDuplicates(["item_id"]), "few")
+    whole = verbatim(docs, few)
     small = item.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     keys = [r.hash for r in anchors(item, size, percent).limit(FILTER_WORDS + 1).collect()] if small else None
     if keys is not None and len(keys) <= FILTER_WORDS:
@@ -121,4 +144,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
     lines = lines.select("doc_id", "item_id", kept.alias("places"), F.forall("pairs", lambda p: p["i"] == p["d"]).alias("same")).where(F.size("places") > 0)
     per = lines.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"), F.bool_and("same").alias("same_values"))
     out = per.join(F.broadcast(size) if small else size, "item_id").where(F.col("n_windows") * 100 >= percent * F.col("item_windows"))
-    return out.select("doc_id", "item_id", "n_windows", "item_windows", "same_values")
+    own = F.coalesce("item_windows", F.lit(1)).cast("long")
+    whole = whole.join(F.broadcast(few), "item_id").select("doc_id", "item_id", own.alias("n_windows"), own.alias("item_windows"), F.lit(True).alias("same_values"))
+    out = out.select(whole.columns).union(whole)
+    return out.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.bool_or("same_values").alias("same_values"))

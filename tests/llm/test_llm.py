@@ -223,6 +223,14 @@ def test_decontamination_of_values_that_become_equal(spark):
     assert got == {1: (True, False)}
 
 
+def test_decontamination_by_short_and_slotted_items(spark):
+    items = ["how many left", "Maria has ten red apples now", "12 kg 5 km 7 m 9 l 3 g"]
+    bench = frame(spark, list(enumerate(items, 1))).withColumnRenamed("doc_id", "item_id")
+    docs = [(i, f"{prose(20, 60 + i)}, {item} {prose(20, 70 + i)}") for i, item in enumerate(items, 1)] + [(4, prose(50, 80)), (5, "how many"), (6, None)]
+    got = {(r.doc_id, r.item_id): r.same_values for r in decontam.contamination(frame(spark, docs), bench).collect()}
+    assert got == {(1, 1): True, (2, 2): True, (3, 3): True}
+
+
 def test_toxicity(spark):
     r = random.Random(3)
     rows, labels = list(EDGE), []
