@@ -2,9 +2,10 @@
 
 Of all suffixes of a text, only those are retained that start at a minimiser: the word whose ``GRAM``-word hash is least
 in some window of ``least - GRAM + 1`` places. Every run of ``least`` words holds one, at the same place in every copy.
-Retained suffixes are sorted by their first ``GRAM`` words; those with no equal neighbour are done with. The rest are
-sorted by all the words that a repeated run around the minimiser can reach, left and right, and equal neighbours extend
-fully. Where contexts differ, the match is extended to the left and right word by word: each run of ``least`` words that
+No suffix order is made: retained suffixes are grouped by a 64-bit hash of their first ``GRAM`` words, and those alone in
+their group are done with. The rest are grouped by a hash of all the words that a repeated run around the minimiser can
+reach, left and right, and members of one context extend fully. Only equality matters here, for which groups by hash
+give what equal neighbours in the order would, up to collisions, without sorting long keys. Where contexts differ, the match is extended to the left and right word by word: each run of ``least`` words that
 has this minimiser is looked up among those of the other contexts of the group. So the result is exact: a word is covered
 if and only if it lies in a run of ``least`` words that occurs elsewhere in the corpus, in another text or in its own.
 
