@@ -27,8 +27,8 @@ from pairloom.storage import shared_dir
 
 #: Rows from which frequent words are gathered, and the most words of a lexicon.
 SAMPLE_ROWS, LEXICON_WORDS = 2000, 1 << 16
-#: Words in a worker's cache; when full it starts anew.
-CACHE_WORDS = 1 << 20
+#: Bytes of the words in a worker's cache; when it is full, or has a million words, it starts anew.
+CACHE_BYTES = 1 << 26
 #: Words of more bytes are merged one by one.
 MATRIX_BYTES = 48
 _U = np.uint64
@@ -208,8 +208,31 @@ class Vocabulary:
         return b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace")
 
 
+class Pool:
+    """A growing array."""
+
+    def __init__(self, dtype, size: int = 1 << 16):
+        self.data, self.used = np.zeros(size, dtype), 0
+
+    def add(self, values: np.ndarray) -> None:
+        while self.used + len(values) > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros_like(self.data)])
+        self.data[self.used : self.used + len(values)] = values
+        self.used += len(values)
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places ``start[i]`` to ``start[i] + size[i]`` of all i, one after another."""
+    end = np.cumsum(size)
+    return np.arange(end[-1] if len(end) else 0) + np.repeat(start - (end - size), size)
+
+
 class WordCache:
-    """Ids of the words met so far, by hash; ``encode`` gives those of new words."""
+    """Ids of the words met so far; ``encode`` gives those of new words.
+
+    A hash leads to a row, and the row's bytes are compared with the word's on each hit, so a word whose hash belongs to
+    another one is encoded anew and never gets the other's ids.
+    """
 
     def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], bits: int = 21):
         self.encode, self.bits = encode, bits
@@ -217,14 +240,43 @@ class WordCache:
 
     def _reset(self) -> None:
         self.table = Hashed(self.bits)
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.offs = np.zeros((1 << 16) + 1, np.int64)
+        self._flat, self._offs, self._bytes, self._ends = Pool(np.int32), Pool(np.int64), Pool(np.uint8), Pool(np.int64)
+        self._offs.add(np.zeros(1, np.int64))
+        self._ends.add(np.zeros(1, np.int64))
+
+    @property
+    def flat(self) -> np.ndarray:
+        return self._flat.data
+
+    @property
+    def offs(self) -> np.ndarray:
+        return self._offs.data
+
+    def _append(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """New rows for these words."""
+        ids, counts = self.encode(data, start, end)
+        rows = self._offs.used - 1 + np.arange(len(start))
+        self._offs.add(self._flat.used + np.cumsum(counts))
+        self._ends.add(self._bytes.used + np.cumsum(end - start))
+        self._flat.add(ids)
+        self._bytes.add(data[spread(start, end - start)])
+        return rows
+
+    def _differ(self, row: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which words aren't those of their rows."""
+        size, own = end - start, self._ends.data
+        out = own[row + 1] - own[row] != size
+        same = np.flatnonzero(~out)
+        unequal = data[spread(start[same], size[same])] != self._bytes.data[spread(own[row[same]], size[same])]
+        if unequal.any():
+            out[same[np.searchsorted(np.cumsum(size[same]), np.flatnonzero(unequal), "right")]] = True
+        return np.flatnonzero(out)
 
     def rows(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """The row of each word, after which ``offs`` and ``flat`` have its ids."""
-        if self.table.n > (1 << self.bits) // 2:
+        if self._offs.used > (1 << self.bits) // 2 or self._bytes.used > CACHE_BYTES:
             self._reset()
-        row = self.table.get(hashes)
+        row = self.table.get(hashes).astype(np.int64)
         new = np.flatnonzero(row < 0)
         if len(new):
             keys, first = np.unique(hashes[new], return_index=True)
@@ -235,17 +287,11 @@ class WordCache:
                 self.bits = big
                 return out
             of = new[first]
-            ids, counts = self.encode(data, start[of], end[of])
-            at, n = self.table.n, len(keys)
-            while at + n + 1 > len(self.offs):
-                self.offs = np.concatenate([self.offs, np.zeros_like(self.offs)])
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.offs[at + 1 : at + n + 1] = self.used + np.cumsum(counts)
-            self.used += len(ids)
-            self.table.put(keys, np.arange(at, at + n, dtype=np.int32))
-            row = self.table.get(hashes)
+            self.table.put(keys, self._append(data, start[of], end[of]).astype(np.int32))
+            row = self.table.get(hashes).astype(np.int64)
+        other = self._differ(row, data, start, end)
+        if len(other):
+            row[other] = self._append(data, start[other], end[other])
         return row
 
 

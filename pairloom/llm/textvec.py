@@ -1,8 +1,13 @@
 """Words and hashes of many texts at once, as numpy arrays over the UTF-8 bytes of an Arrow column.
 
 Words are maximal runs of bytes other than ``\\x20\\x09-\\x0D``; none of those occurs inside a multi-byte character, so
-the byte view and the character view agree. Hashes are polynomials modulo 2^64 whose coefficients are a random table
-entry per byte, so that the hash of any run follows from two prefix sums; a finaliser mixes the result.
+the byte view and the character view agree.
+
+A word's hash is the sum of random table entries, one for each byte and its place in a block of ``BLOCK`` bytes; blocks
+are mixed and summed with a random odd factor each. Two words of equal length differ in a sum of independent random
+numbers, so no words are built that collide, as they are for polynomials modulo 2^64. ``runs`` is such a polynomial: over
+mixed word hashes and runs of some hundred words at most, where the factors that all powers of two share leave 38 bits or
+more even for sequences made to collide (Thue-Morse), and over bytes for short prefixes and where bytes are compared too.
 """
 
 from __future__ import annotations
@@ -29,6 +34,12 @@ _LOWER = _TABLE.copy()
 _LOWER[65:91] = _TABLE[97:123]
 #: The coefficient of each byte, with A-Z as a-z.
 FOLDED = _LOWER
+#: Bytes of a word that the tables tell apart by place.
+BLOCK = 64
+_PLACED = _rng.integers(-(2**63), 2**63 - 1, BLOCK * 256, dtype=np.int64).view(_U)
+_PLACED_LOWER = _PLACED.reshape(BLOCK, 256).copy()
+_PLACED_LOWER[:, 65:91] = _PLACED_LOWER[:, 97:123]
+_PLACED_LOWER = _PLACED_LOWER.ravel()
 _BASES = {"byte": 0x9E3779B97F4A7C15, "word": 0xC2B2AE3D27D4EB4F}
 _powers: dict[tuple[str, bool], np.ndarray] = {}
 
@@ -60,6 +71,27 @@ def runs(values: np.ndarray, start: np.ndarray, end: np.ndarray, kind: str) -> n
     return mix((total[end] - total[start]) * _power(kind, True, len(values) + 1)[start])
 
 
+def word_hashes(letters: np.ndarray, size: np.ndarray, lower: bool) -> np.ndarray:
+    """The hash of each word, from the bytes of all words one after another and their sizes, which are positive."""
+    if not len(size):
+        return np.zeros(0, _U)
+    end = np.cumsum(size)
+    place = np.arange(len(letters)) - np.repeat(end - size, size)
+    values = (_PLACED_LOWER if lower else _PLACED)[(place & (BLOCK - 1)) << 8 | letters]
+    blocks = (size + BLOCK - 1) // BLOCK
+    total = int(blocks.sum())
+    if total == len(size):
+        out = np.add.reduceat(values, end - size)
+    else:
+        first = np.cumsum(blocks) - blocks
+        number = np.arange(total) - np.repeat(first, blocks)
+        part = mix(np.add.reduceat(values, np.repeat(end - size, blocks) + number * BLOCK), 17)
+        part *= np.where(number > 0, mix(number.astype(_U), 23) | _U(1), _U(1))
+        # A word of one block is the block's sum, in whatever company it is hashed.
+        out = np.where(blocks > 1, np.add.reduceat(part, first), np.add.reduceat(values, end - size))
+    return mix(out + size.astype(_U) * _U(0xD6E8FEB86659FD93))
+
+
 def map_batches(rows: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow`` of wide rows. The session's rows per Arrow batch are lowered to ``BATCH_ROWS`` if it has more."""
     conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -105,7 +137,7 @@ class Words:
             last[offs[1:-1][(offs[1:-1] > 0)] - 1] = True
         self.end = np.flatnonzero(solid & last) + 1
         self.bounds = np.searchsorted(self.start, offs)
-        self.hash = runs((_LOWER if lower else _TABLE)[data], self.start, self.end, "byte") if n else np.zeros(0, _U)
+        self.hash = word_hashes(data[solid], self.end - self.start, lower)
 
     def grams(self, k: int) -> np.ndarray:
         """The hash of words i to i+k-1 for each i that has so many words after it in the chunk."""

@@ -5,8 +5,8 @@ serves all of them. Features are 1 + ln(count) of selected words and word beginn
 bounded sample of graded documents (``TRAIN_ROWS``, those whose id hashes lowest); every document is scored, on its
 whole text.
 
-Where labels are only 0 or 1, ``severity_grades`` grades the toxic ones by how much they have of the words that tell
-toxic from other documents: thirds of that amount are grades 1 to 3.
+Where labels are only 0 or 1, ``severity_grades`` grades the toxic ones by thirds of out-of-fold scores. Words are
+counted, near copies dropped and features chosen in Spark; the driver gets the chosen words' counts alone.
 
 Nulls and empty texts get the severity of a document without features. Labels that are null, or whose document is
 missing, are not learned from; with fewer than two grades to learn from, every severity is 0. Repeated rows stay.
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from pairloom.llm.textvec import FOLDED, NON_LETTERS, Words, chunks, map_batches, mix, runs
+from pairloom.storage import materialise
 
 #: Graded documents that a model is fitted on, at most, and words it may use.
 TRAIN_ROWS, MAX_WORDS, LEAST_DOCS = 6000, 400, 8
@@ -28,6 +29,8 @@ TRAIN_ROWS, MAX_WORDS, LEAST_DOCS = 6000, 400, 8
 PREFIXES = (4, 5, 6)
 #: Half the G statistic that a word needs: one word in a million reaches it by chance.
 LEAST_G = 12.0
+#: Buckets of the sketch that finds near copies in the sample, and keys made of them; folds of the grading.
+BUCKETS, KEYS, FOLDS = 64, 8, 3
 _U = np.uint64
 
 
@@ -72,42 +75,13 @@ def counts(data: np.ndarray, offs: np.ndarray, wanted: np.ndarray | None = None)
 
 @dataclass(frozen=True)
 class Sample:
-    """Sparse counts of graded documents: entry i says that document ``row[i]`` has ``word[i]`` ``count[i]`` times."""
+    """Sparse counts of graded documents: entry i says that document ``row[i]`` has ``words[col[i]]`` ``count[i]`` times."""
 
     labels: np.ndarray
+    words: np.ndarray  # sorted hashes of the chosen features
     row: np.ndarray
-    word: np.ndarray
+    col: np.ndarray
     count: np.ndarray
-    lengths: np.ndarray
-
-
-def gather(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> Sample:
-    """The documents of the ``rows`` labels whose ids hash lowest; of equal texts one."""
-    chosen = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
-        .where("doc_id is not null and label is not null")
-        .groupBy("doc_id")
-        .agg(F.max("label").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(rows)
-    )
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    # At most ``rows`` labels are broadcast.
-    found = map_batches(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text"), _count_batches, "doc_id long, label int, digest long, words binary, counts binary")
-    table = found.toArrow().sort_by([("doc_id", "ascending"), ("digest", "ascending")])
-    label_of, row, word, count, lengths, seen = [], [], [], [], [], set()
-    for y, digest, w, c in zip(*(table.column(k).to_pylist() for k in ("label", "digest", "words", "counts"))):
-        if digest in seen:
-            continue
-        seen.add(digest)
-        w, c = np.frombuffer(w, _U), np.frombuffer(c, np.int64)
-        row.append(np.full(len(w), len(label_of)))
-        word.append(w)
-        count.append(c)
-        lengths.append(int(c.sum()))
-        label_of.append(y)
-    cat = lambda x, t: np.concatenate([np.zeros(0, t), *x]).astype(t)
-    return Sample(np.array(label_of, np.int64), cat(row, np.int64), cat(word, _U), cat(count, np.int64), np.array(lengths, np.int64))
 
 
 def _count_batches(batches):
@@ -115,97 +89,117 @@ def _count_batches(batches):
         for at, to, data, offs in chunks(batch.column(2)):
             text, word, count = counts(data, offs)
             bounds = np.searchsorted(text, np.arange(to - at + 1))
-            words = [word[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:])]
-            number = [count[s:e].astype(np.int64).tobytes() for s, e in zip(bounds[:-1], bounds[1:])]
-            digest = [int(np.add.reduce(word[s:e] * count[s:e].astype(_U)).astype(np.int64)) for s, e in zip(bounds[:-1], bounds[1:])]
+            lists = lambda x, t: pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, t))
+            digest = [int(np.add.reduce(mix(word[s:e] * count[s:e].astype(_U), 9)).astype(np.int64)) for s, e in zip(bounds[:-1], bounds[1:])]
+            keys = [sketch(word[s:e]) for s, e in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(digest, pa.int64()), pa.array(words, pa.binary()), pa.array(number, pa.binary())],
-                ["doc_id", "label", "digest", "words", "counts"],
+                [batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at), pa.array(digest, pa.int64()), pa.array(keys, pa.list_(pa.int64())), lists(word.view(np.int64), pa.int64()), lists(count.astype(np.int32), pa.int32())],
+                ["doc_id", "label", "digest", "keys", "words", "counts"],
             )
 
 
-def distinct(sample: Sample) -> Sample:
-    """One document of each group of near copies, which else would make a group's own words look telling.
+def sketch(words: np.ndarray) -> np.ndarray:
+    """Keys of a set of words, each of the least hashes in some of its buckets; near copies agree in one of them."""
+    h = mix(words, 21)
+    least = np.full(BUCKETS, np.iinfo(np.uint64).max, _U)
+    np.minimum.at(least, (h >> _U(58)).astype(np.int64), h)
+    some = least.reshape(KEYS, -1)
+    odd = np.arange(1, 2 * some.shape[1], 2).astype(_U)
+    return mix((mix(some, 5) * odd).sum(1, dtype=_U)).view(np.int64)
+
 
-    Documents are compared that agree in two of the MinHash values of their less frequent words, for any of three pairs,
-    and grouped if they share six tenths of their words.
+def gather(docs: DataFrame, labels: DataFrame, label: str, rows: int = TRAIN_ROWS) -> DataFrame:
+    """``doc_id, label, words, counts`` of the ``rows`` labels whose ids hash lowest; of equal texts and near copies one.
+
+    Near copies would make a group's own words look telling. A document is one if it shares six tenths of its words with
+    the smallest id of a group that has a key of the sketch in common.
     """
-    n = len(sample.labels)
-    _, at, df = np.unique(sample.word, return_inverse=True, return_counts=True)
-    rare = df[at] <= max(2, 0.3 * n)
-    row, word = sample.row[rare], sample.word[rare]
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    some = np.unique(row)
-    bounds = np.searchsorted(sample.row, np.arange(n + 1))
-    for pair in range(3):
-        least = np.full((2, n), np.iinfo(np.uint64).max, _U)
-        for k in range(2):
-            np.minimum.at(least[k], row, mix(word, 2 * pair + k + 21))
-        first: dict[tuple[int, int], int] = {}
-        for i in some.tolist():
-            j = first.setdefault((int(least[0, i]), int(least[1, i])), i)
-            a, b = find(i), find(j)
-            if a != b:
-                x, y = (sample.word[bounds[k] : bounds[k + 1]] for k in (i, j))
-                common = len(np.intersect1d(x, y))
-                if 10 * common >= 6 * (len(x) + len(y) - common):
-                    root[max(a, b)] = min(a, b)
-    keep = np.array([find(i) == i for i in range(n)], bool)
-    place = np.cumsum(keep) - 1
-    mine = keep[sample.row]
-    return Sample(sample.labels[keep], place[sample.row[mine]], sample.word[mine], sample.count[mine], sample.lengths[keep])
-
-
-def telling_words(sample: Sample, positive: np.ndarray, most: int = MAX_WORDS, least: int = LEAST_DOCS) -> np.ndarray:
-    """The features, sorted, whose presence raises the odds of ``positive`` most surely, by the G-test."""
-    words, at = np.unique(sample.word, return_inverse=True)
-    total, good = len(positive), int(positive.sum())
+    chosen = (
+        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+        .where("doc_id is not null and label is not null")
+        .groupBy("doc_id")
+        .agg(F.max("label").alias("label"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(rows)
+    )
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    schema = "doc_id long, label int, digest long, keys array<long>, words array<long>, counts array<int>"
+    # At most ``rows`` labels are broadcast.
+    found = map_batches(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text"), _count_batches, schema)
+    one = found.groupBy("digest").agg(F.min(F.struct("doc_id", "label", "keys", "words", "counts")).alias("r")).select("r.*")
+    one = materialise(one, "sample")
+    keys = one.select("doc_id", F.posexplode("keys").alias("i", "key"))
+    least = keys.groupBy("i", "key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    pairs = keys.join(least, ["i", "key"]).where("doc_id <> first").select("doc_id", "first").distinct()
+    own, other = one.select("doc_id", "words"), one.select(F.col("doc_id").alias("first"), F.col("words").alias("others"))
+    common = F.size(F.array_intersect("words", "others"))
+    near = pairs.join(own, "doc_id").join(other, "first").where(10 * common >= 6 * (F.size("words") + F.size("others") - common))
+    return one.join(near.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "label", "words", "counts")
+
+
+def telling_words(rows: DataFrame, most: int = MAX_WORDS, least: int = LEAST_DOCS) -> np.ndarray:
+    """The features, sorted, whose presence raises the odds of a label above 0 most surely, by the G-test.
+
+    Words are counted by label in Spark; at most ``most`` come to the driver.
+    """
+    total, good = rows.agg(F.count("*"), F.count_if(F.col("label") > 0)).first()
     if not good or good == total:
-        return words[:0]
-    n = np.bincount(at, minlength=len(words)).astype(float)
-    k = np.bincount(at, weights=positive[sample.row].astype(float), minlength=len(words))
-    share = good / total
-    g = sum(np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-12) / (n * p)), 0.0) for seen, p in ((k, share), (n - k, 1 - share)))
-    g[(k <= n * share) | (n < least)] = -1
-    best = np.lexsort((words, -g))[:most]
-    return np.sort(words[best[g[best] >= LEAST_G]])
-
-
-def severity_grades(sample: Sample) -> np.ndarray:
-    """0 for label 0; else 1 to 3 by thirds of the sum of 1 + ln(count) over telling words."""
-    y = sample.labels > 0
-    grades = y.astype(np.int64)
-    hit = np.isin(sample.word, telling_words(sample, y))
-    amount = np.bincount(sample.row[hit], weights=1 + np.log(sample.count[hit]), minlength=len(y))
-    some = y & (amount > 0)
-    if some.any():
-        grades[some] += np.searchsorted(np.quantile(amount[some], [1 / 3, 2 / 3]), amount[some], "left")
-    return grades
+        return np.zeros(0, _U)
+    n, k, share = F.col("n").cast("double"), F.col("k").cast("double"), good / total
+    part = lambda seen, p: F.when(seen > 0, seen * F.ln(seen / (n * p))).otherwise(0.0)
+    seen = rows.select((F.col("label") > 0).alias("toxic"), F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"), F.count_if("toxic").alias("k"))
+    g = F.round(part(k, share) + part(n - k, 1 - share), 6)
+    best = seen.where((k > n * share) & (n >= least)).select("word", g.alias("g")).where(F.col("g") >= LEAST_G).orderBy(F.desc("g"), "word").limit(most)
+    return np.sort(np.array([r.word for r in best.collect()], np.int64).view(_U))
+
+
+def sparse(rows: DataFrame, words: np.ndarray) -> Sample:
+    """Home come labels and the counts of the chosen words alone: ``TRAIN_ROWS`` rows of ``MAX_WORDS`` entries at most."""
+    chosen = [int(w) for w in words.view(np.int64)]
+    cells = F.filter(F.arrays_zip("words", "counts"), lambda x: x["words"].isin(chosen)) if chosen else F.array().cast("array<struct<words:bigint,counts:int>>")
+    table = rows.select("doc_id", "label", cells["words"].alias("w"), cells["counts"].alias("n")).toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    w, n = (table.column(c).combine_chunks() for c in ("w", "n"))
+    flat = w.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(_U)
+    row = np.repeat(np.arange(len(w)), w.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)) if len(w) else np.zeros(0, np.int64)
+    return Sample(table.column("label").to_numpy().astype(np.int64), words, row, np.searchsorted(words, flat), n.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+
+
+def severity_grades(sample: Sample, folds: int = FOLDS) -> np.ndarray:
+    """0 for label 0; else 1 to 3 by thirds of the score that a model fitted without the document's fold gives it.
+
+    Labels justify the first threshold alone; the others order toxic documents by how sure others' labels make us.
+    """
+    y = (sample.labels > 0).astype(np.int64)
+    fold, out = np.arange(len(y)) % folds, y.copy()
+    if y.sum() < 3 * folds or y.all():
+        return out
+    x = 1 + np.log(sample.count)
+    score = np.zeros(len(y))
+    for k in range(folds):
+        mine = np.flatnonzero(fold != k)
+        place = np.full(len(y), -1)
+        place[mine] = np.arange(len(mine))
+        hit = place[sample.row] >= 0
+        model = fit(Sample(y[mine], sample.words, place[sample.row[hit]], sample.col[hit], sample.count[hit]), y[mine], steps=200)
+        weights = model.weights if len(model.weights) else np.zeros(len(sample.words))
+        score[fold == k] = np.bincount(sample.row, weights=x * weights[sample.col], minlength=len(y))[fold == k] if len(sample.row) else 0
+    toxic = y > 0
+    out[toxic] += np.searchsorted(np.quantile(score[toxic], [1 / 3, 2 / 3]), score[toxic], "left")
+    return out
 
 
 def fit(sample: Sample, grades: np.ndarray, penalty: float = 1e-6, steps: int = 600) -> Ordinal:
     levels = int(grades.max(initial=0))
     if len(grades) == 0 or levels == 0 or (grades > 0).all():
         return Ordinal(np.zeros(0, _U), np.zeros(0), np.full(max(levels, 1), np.inf))
-    words = telling_words(sample, grades > 0)
-    at = np.searchsorted(words, sample.word)
-    at[at == len(words)] = 0
-    hit = (words[at] == sample.word) if len(words) else np.zeros(len(at), bool)
-    row, col, x = sample.row[hit], at[hit], 1 + np.log(sample.count[hit])
+    row, col, x = sample.row, sample.col, 1 + np.log(sample.count)
     n, k = len(grades), levels
     above = np.array([(grades >= j).mean() for j in range(1, k + 1)])
     first = np.log((1 - above[0]) / above[0])
     # theta_1, then logarithms of the gaps, keep the thresholds in order.
-    params = np.concatenate([np.zeros(len(words)), [first], np.full(k - 1, np.log(0.5))])
+    params = np.concatenate([np.zeros(len(sample.words)), [first], np.full(k - 1, np.log(0.5))])
     m, v = np.zeros_like(params), np.zeros_like(params)
-    f = len(words)
+    f = len(sample.words)
     for t in range(1, steps + 1):
         w, gaps = params[:f], np.exp(params[f + 1 :])
         theta = params[f] + np.concatenate([[0.0], np.cumsum(gaps)])
@@ -226,7 +220,7 @@ def fit(sample: Sample, grades: np.ndarray, penalty: float = 1e-6, steps: int =
         params -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         # A telling word never lowers the severity.
         np.maximum(params[:f], 0, out=params[:f])
-    return Ordinal(words, params[:f], params[f] + np.concatenate([[0.0], np.cumsum(np.exp(params[f + 1 :]))]))
+    return Ordinal(sample.words, params[:f], params[f] + np.concatenate([[0.0], np.cumsum(np.exp(params[f + 1 :]))]))
 
 
 def score(docs: DataFrame, model: Ordinal, threshold: float = 0.5) -> DataFrame:
@@ -250,5 +244,6 @@ def score(docs: DataFrame, model: Ordinal, threshold: float = 0.5) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = TRAIN_ROWS, graded: bool = False) -> Ordinal:
     """``graded``: the label is a severity from 0 already."""
-    sample = distinct(gather(docs, labels, label, rows))
+    found = materialise(gather(docs, labels, label, rows), "graded")
+    sample = sparse(found, telling_words(found))
     return fit(sample, sample.labels if graded else severity_grades(sample))

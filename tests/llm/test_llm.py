@@ -369,3 +369,37 @@ def test_pipeline(spark, tmp_path):
     assert {1, 4, 5} <= left.keys() and 2 not in left and 3 not in left
     assert left[4].text.endswith("<EMAIL>") and left[4].n_chars == len(left[4].text) and left[5].text is None
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(left)
+
+
+def thue_morse(n):
+    """Two words of 2^n letters that collide under any polynomial modulo 2^64 with an odd base, for n of 10 or more."""
+    bits = [bin(i).count("1") & 1 for i in range(1 << n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_collide_for_polynomials(spark):
+    x, y = thue_morse(10)
+    around = prose(60, 40).split()
+    texts = [" ".join([*around[:30], w, *around[30:]]) for w in (x, y)]
+    for _, _, data, offs in textvec.chunks(pa.array([f"{x} {y}", f"{y[:65]} {x[:65]}", "a" * 64 + " " + "a" * 128])):
+        assert len(set(textvec.Words(data, offs).hash.tolist())) == 6
+    library = Tokenizer.from_file(PATH)
+    want = [library.encode(t, add_special_tokens=False).ids for t in (x, y, *texts)]
+    rows = list(enumerate((x, y, *texts)))
+    got = {r.doc_id: r.ids for r in bpe.bpe(frame(spark, rows), PATH, with_ids=True).collect()}
+    assert [got[i] for i in range(4)] == want and want[0] != want[1]
+    crcs = {r.doc_id: r.ids_crc32 for r in records.read_records(records.write_records(frame(spark, rows), PATH)).collect()}
+    assert crcs == {i: zlib.crc32(np.array([*ids, 0], "<u4")) for i, ids in enumerate(want)}
+    near = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows[:2]), k=4).collect()}
+    assert near == {0: 0, 1: 1}
+    spans = {(r.doc_id, r.start_word, r.end_word) for r in suffixes.repeated_passages(frame(spark, [(i, f"{t} {prose(20, 41)}") for i, t in rows[2:]])).collect()}
+    assert spans == {(2, 31, 81), (3, 31, 81)}
+
+
+def test_cache_tells_words_of_one_hash_apart():
+    cache = bpe.WordCache(lambda data, start, end: (data[start].astype(np.int32), np.ones(len(start), np.int64)))
+    data = np.frombuffer(b"abcab", np.uint8)
+    start = np.arange(5)
+    for _ in range(2):
+        rows = cache.rows(data, start, start + 1, np.zeros(5, np.uint64))
+        assert cache.flat[cache.offs[rows]].tolist() == list(b"abcab")
