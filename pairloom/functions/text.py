@@ -33,6 +33,11 @@ def _marks() -> tuple[str, str]:
 MARKED, UNMARKED = _marks()
 
 
+def once(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalise(text: Column) -> Column:
     """White space of any kind collapsed and trimmed; null is empty."""
     return F.trim(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"(?U)\s+", " "))

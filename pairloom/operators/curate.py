@@ -42,6 +42,11 @@ def not_blocked(rows: DataFrame, blocked: DataFrame, keys: list[str]) -> DataFra
     return reduce(lambda d, k: d.join(blocked.where(F.col(k).isNotNull()).select(k).distinct(), k, "left_anti"), keys, rows).select(rows.columns)
 
 
+def best(rows: DataFrame, keys: list[str], order: list[Column | str], n: int, place: str = "n") -> DataFrame:
+    """The first ``n`` rows of each key; ``place`` counts from 1."""
+    return rows.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(place) <= n)
+
+
 def dedupe_first(rows: DataFrame, keys: list[str], order: list[Column | str]) -> tuple[DataFrame, DataFrame]:
     """The first row of each key, and the rest."""
     ranked = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

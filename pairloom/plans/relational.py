@@ -233,11 +233,6 @@ def stats_by_article_split(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy("l_partkey", "l_returnflag").agg(F.count("*").alias("filas"), F.countDistinct("l_orderkey").alias("fuentes"), F.countDistinct("l_shipdate").alias("textos"))
 
 
-@query("SELECT l_suppkey, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) GROUP BY l_suppkey ORDER BY n DESC, l_suppkey LIMIT 15")
-def bis_top15(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey").distinct().groupBy("l_suppkey").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l_suppkey").limit(15)
-
-
 @query("SELECT l_orderkey, max_by(l_shipdate, (l_linenumber, l_shipdate)) AS texto, array_to_string(list_sort(list_distinct(list(l_partkey))), ',') AS positivos FROM lineitem GROUP BY l_orderkey")
 def gold_sets(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max_by("l_shipdate", F.struct("l_linenumber", "l_shipdate")).alias("texto"), F.array_join(F.array_sort(F.collect_set("l_partkey")), ",").alias("positivos"))

@@ -94,22 +94,27 @@ def file_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+)\.parquet", 1).alias("tabla"), "length", F.sha2("content", 256).alias("sha256"))
 
 
-_CITE = "concat('arts. ', CAST(l_linenumber AS VARCHAR), '-', CAST(l_linenumber + 2 AS VARCHAR), ' del Código Penal')"
-
-
-@query("SELECT l_orderkey, l_linenumber, l_linenumber + unnest([0, 2, 1]) AS articulo, unnest([1, 2, 3]) AS pos FROM lineitem")
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, concat('Visto el caso: arts. ', l_linenumber, '-', l_linenumber + 2, ' del Código Penal') AS x FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_linenumber + unnest([0, 2, 1]) AS articulo, unnest([1, 2, 3]) AS pos, 15 AS b, CAST(length(x) AS INTEGER) AS e FROM t""")
 def citations(spark: SparkSession, sf: str) -> DataFrame:
-    cited = F.concat(F.lit("arts. "), "l_linenumber", F.lit("-"), F.col("l_linenumber") + 2, F.lit(" del Código Penal"))
-    find = spans.spans_udf(spans.penal_citations, "articulo: string, b: int, e: int, cita: string")
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.posexplode(find(cited)).alias("p", "c"))
-    return rows.select("l_orderkey", "l_linenumber", F.col("c.articulo").cast("int").alias("articulo"), (F.col("p") + 1).alias("pos"))
+    cited = F.concat(F.lit("Visto el caso: arts. "), "l_linenumber", F.lit("-"), F.col("l_linenumber") + 2, F.lit(" del Código Penal"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.posexplode(spans.penal_citations(cited)).alias("p", "c"))
+    return rows.select("l_orderkey", "l_linenumber", F.col("c.articulo").cast("int").alias("articulo"), (F.col("p") + 1).alias("pos"), "c.b", "c.e")
 
 
-@query("SELECT l_orderkey, l_linenumber, unnest(['CP', 'CPP', 'LEY:' || l_linenumber]) AS norma, unnest([CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), '5']) AS articulo FROM lineitem")
+@query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, concat('art. ', l_partkey, ' inciso 3 del Código Penal') AS x, concat('arts. ', l_suppkey, ' del CPP') AS y, concat('art. 5 de la Ley ', l_linenumber) AS z FROM lineitem)
+SELECT l_orderkey, l_linenumber, unnest(['CP', 'CPP', 'LEY:' || l_linenumber]) AS norma, unnest([CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), '5']) AS articulo, unnest(['3', NULL, NULL]) AS inciso,
+CAST(unnest([0, length(x) + 2, length(x) + length(y) + 4]) AS INTEGER) AS b, CAST(unnest([length(x), length(x) + length(y) + 2, length(x) + length(y) + length(z) + 4]) AS INTEGER) AS e FROM t""")
 def citations_v7(spark: SparkSession, sf: str) -> DataFrame:
-    cited = F.concat(F.lit("art. "), "l_partkey", F.lit(" del Código Penal; art. "), "l_suppkey", F.lit(" del CPP; art. 5 de la Ley "), "l_linenumber")
-    find = spans.spans_udf(spans.norm_citations, "norma: string, articulo: string, inciso: string, b: int, e: int, cita: string")
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.explode(find(cited)).alias("c")).select("l_orderkey", "l_linenumber", "c.norma", "c.articulo")
+    cited = F.concat(F.lit("art. "), "l_partkey", F.lit(" inciso 3 del Código Penal; arts. "), "l_suppkey", F.lit(" del CPP; art. 5 de la Ley "), "l_linenumber")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.explode(spans.norm_citations(cited)).alias("c")).select("l_orderkey", "l_linenumber", "c.norma", "c.articulo", "c.inciso", "c.b", "c.e")
+
+
+@query("""WITH t AS (SELECT p_partkey, concat('Se invoca el art. ', p_size) AS x, concat(' y el art. ', p_size + 1, ' del CP') AS y, p_size FROM part)
+SELECT p_partkey, 13 AS b, CAST(length(x) AS INTEGER) AS e, concat('art. ', p_size) AS cita FROM t""")
+def citations_unresolved(spark: SparkSession, sf: str) -> DataFrame:
+    said = F.concat(F.lit("Se invoca el art. "), "p_size", F.lit(". Luego el art. "), F.col("p_size") + 1, F.lit(" del CP"))
+    return table(spark, sf, "part").select("p_partkey", F.explode(spans.unresolved_citations(said)).alias("x")).select("p_partkey", "x.b", "x.e", F.col("x.text").alias("cita"))
 
 
 @query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'condena' WHEN 1 THEN 'ambiguo' WHEN 2 THEN 'no_identificado' ELSE 'precedente' END AS papel, CASE p_size % 4 WHEN 0 THEN 'condena' WHEN 1 THEN 'ambiguo' WHEN 2 THEN 'cita_sin_aplicacion_demostrada' ELSE 'precedente_o_documento_citado' END AS papel_v7 FROM part")
@@ -145,59 +150,133 @@ def synonym_augment(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("new <> text").select("doc_id", F.sha2("new", 256).alias("texto"))
 
 
-def _analysed(spark: SparkSession, sf: str, function, schema: str) -> DataFrame:
-    find = spans.spans_udf(function, schema)
-    return table(spark, sf, "documents").select("doc_id", F.explode(find("text")).alias("x")).select("doc_id", "x.*")
+#: A ruling of each part, the same in both engines: a heading with a fact, a decision with a citation, and a closing.
+_HEAD, _FACT = "HECHOS PROBADOS: ", "El acusado golpeó a la víctima con "
+_SCENE = " en la calle del centro de la ciudad de noche, según el Dr. Pérez."
+_RULING = ["Se condenó conforme al art. ", " del CP.", "POR TANTO: se anula el auto."]
+_RULING_SQL = f"concat('{_HEAD}{_FACT}', p_name, '{_SCENE} {_RULING[0]}', p_size, '{_RULING[1]} {_RULING[2]}')"
 
 
-@query()
+def _ruling(spark: SparkSession, sf: str) -> DataFrame:
+    said = F.concat(F.lit(_HEAD + _FACT), "p_name", F.lit(f"{_SCENE} {_RULING[0]}"), "p_size", F.lit(f"{_RULING[1]} {_RULING[2]}"))
+    return table(spark, sf, "part").select("p_partkey", "p_name", "p_size", said.alias("t"))
+
+
+_PARTS = f"""WITH t AS (SELECT p_partkey, p_name, p_size, {_RULING_SQL} AS t FROM part),
+s AS (SELECT p_partkey, t, CAST(strpos(t, 'Se condenó') - 1 AS INTEGER) AS c, CAST(strpos(t, 'POR TANTO') - 1 AS INTEGER) AS p, CAST(length(t) AS INTEGER) AS n FROM t)"""
+
+
+@query(f"{_PARTS} SELECT p_partkey, unnest([0, c, p]) AS b, unnest([c - 1, p - 1, n]) AS e FROM s")
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return _analysed(spark, sf, spans.sentences, "b: int, e: int")
+    return _ruling(spark, sf).select("p_partkey", F.explode(spans.sentences(F.col("t"))).alias("x")).select("p_partkey", "x.*")
 
 
-@query()
-def fact_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _analysed(spark, sf, spans.fact_blocks, "b: int, e: int, texto: string, seccion: string, senales_facticas: int, senales_procesales: int, prioridad: int")
-    top = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("prioridad"), "b"))
-    return rows.drop("texto").withColumn("n", top).where("n <= 4")
+@query(f"{_PARTS} SELECT p_partkey, unnest([0, d, c, p]) AS b, unnest([d, c, p, n]) AS e FROM (SELECT *, CAST(strpos(t, 'Pérez') - 1 AS INTEGER) AS d FROM s)")
+def paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    return _ruling(spark, sf).select("p_partkey", F.explode(spans.paragraphs(F.col("t"))).alias("x")).select("p_partkey", "x.*")
 
 
-def _structured(spark: SparkSession, sf: str) -> DataFrame:
-    return _analysed(spark, sf, lambda t: list(spans.structured(t)), "b: int, e: int, texto: string, seccion: string, decision: boolean, hecho: boolean")
+#: Five paragraphs: a heading, facts by the part's size, a legal heading, what looks factual there, and procedure.
+_BLOCKS = ["RELACIÓN DE HECHOS", "El acusado disparó contra la víctima y huyó con ", "FUNDAMENTOS JURÍDICOS", "El tribunal dice que alguien vendió lo que no era suyo y obligó a otro a callar en ", "Recurso de casación, apelación, agravio y nulidad; el fallo dice que alguien golpeó en "]
+_PAD = " y así consta en los papeles que se guardan."
 
 
-@query()
+@query(f"""WITH t AS (SELECT p_partkey, concat('{_BLOCKS[1]}', p_name, repeat('{_PAD}', p_size % 3)) AS f, concat('{_BLOCKS[3]}', p_name, '{_PAD}') AS l FROM part),
+s AS (SELECT p_partkey, {len(_BLOCKS[0]) + 1} AS b1, {len(_BLOCKS[0]) + 1} + length(f) + 1 AS e1, {len(_BLOCKS[0]) + 1} + length(f) + 1 + {len(_BLOCKS[2]) + 1} AS b2, length(f) AS n1, length(l) AS n2 FROM t)
+SELECT p_partkey, CAST(b1 AS INTEGER) AS b, CAST(e1 AS INTEGER) AS e, 'hechos' AS seccion, 1 AS senales_facticas, 0 AS senales_procesales, 8 AS prioridad, 1 AS n FROM s WHERE n1 >= 100
+UNION ALL SELECT p_partkey, CAST(b2 AS INTEGER), CAST(b2 + n2 + 1 AS INTEGER), 'juridica', 2, 0, 6, CASE WHEN n1 >= 100 THEN 2 ELSE 1 END FROM s WHERE n2 >= 100""")
+def fact_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The best blocks of each text; procedure outweighs the last paragraph's one verb."""
+    line = lambda i: F.concat(F.lit(_BLOCKS[i]), "p_name", F.lit(_PAD))
+    fact = F.concat(F.lit(_BLOCKS[1]), "p_name", F.repeat(F.lit(_PAD), F.col("p_size") % 3))
+    said = F.concat_ws("\n", F.lit(_BLOCKS[0]), fact, F.lit(_BLOCKS[2]), line(3), line(4))
+    rows = table(spark, sf, "part").select("p_partkey", F.explode(spans.fact_blocks(said)).alias("x")).select("p_partkey", "x.*").drop("texto")
+    return curate.best(rows, ["p_partkey"], [F.desc("prioridad"), "b"], 4)
+
+
+@query(f"{_PARTS} SELECT p_partkey, {len(_HEAD)} AS b, c - 1 AS e, 'hechos probados' AS seccion, sha256(concat_ws('|', p_partkey, 'hecho', {len(_HEAD)}, c - 1)) AS hecho_id FROM s WHERE c - 1 - {len(_HEAD)} >= 60")
 def v7_facts(spark: SparkSession, sf: str) -> DataFrame:
-    key = F.sha2(F.lower(F.concat_ws("|", "doc_id", F.lit("hecho"), "b", "e")), 256)
-    return _structured(spark, sf).where("hecho").select("doc_id", "b", "e", "seccion", key.alias("hecho_id"))
+    rows = _ruling(spark, sf).select("p_partkey", F.explode(spans.structured(F.col("t"))).alias("x")).select("p_partkey", "x.*").where("hecho")
+    return rows.select("p_partkey", "b", "e", "seccion", F.sha2(F.lower(F.concat_ws("|", "p_partkey", F.lit("hecho"), "b", "e")), 256).alias("hecho_id"))
 
 
-@query()
+@query(f"""{_PARTS} SELECT p_partkey, 'hechos probados' AS seccion, 2 AS oraciones, 1 AS decisiones, 1 AS hechos FROM s UNION ALL SELECT p_partkey, 'por tanto', 1, 1, 0 FROM s""")
 def v7_section(spark: SparkSession, sf: str) -> DataFrame:
-    return _structured(spark, sf).groupBy("doc_id", "seccion").agg(F.count("*").alias("oraciones"), F.count_if("decision").alias("decisiones"), F.count_if("hecho").alias("hechos"))
+    rows = _ruling(spark, sf).select("p_partkey", F.explode(spans.structured(F.col("t"))).alias("x")).select("p_partkey", "x.*")
+    return rows.groupBy("p_partkey", "seccion").agg(F.count("*").alias("oraciones"), F.count_if("decision").alias("decisiones"), F.count_if("hecho").alias("hechos"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT p_partkey, {_RULING_SQL} AS t, concat('art. ', p_size, ' del CP.') AS c FROM part) SELECT p_partkey, replace(t, c, repeat(' ', length(c))) AS texto FROM t""")
 def masked_passages(spark: SparkSession, sf: str) -> DataFrame:
-    @F.pandas_udf("string")
-    def masked(texts):
-        return texts.map(lambda t: spans.mask_citations(t or ""))
+    return _ruling(spark, sf).select("p_partkey", spans.mask_citations(F.col("t")).alias("texto"))
 
-    said = F.concat(F.coalesce("text", F.lit("")), F.lit(" art. 251 del Código Penal. "))
-    return table(spark, sf, "documents").select("doc_id", F.length(said).alias("n"), F.length(masked(said)).alias("n_masked"))
 
+_STEP = "Uno dos tres. "
 
-@query()
+
+@query(f"""WITH t AS (SELECT p_partkey, 100 + p_size AS k, concat('art. ', p_size, ' del Código Penal') AS c FROM part),
+x AS (SELECT p_partkey, c, {len(_STEP)} * k AS b, {len(_STEP)} * k + length(c) AS e, concat(repeat('{_STEP}', k), c, ' ', repeat('{_STEP}', 40)) AS t FROM t),
+w AS (SELECT p_partkey, b - 650 - (b - 650) % {len(_STEP)} AS l, e + 1 + {len(_STEP)} * CAST(ceil(249 / {len(_STEP)}) AS BIGINT) AS r, replace(t, c, repeat(' ', length(c))) AS m, b, e, t FROM x)
+SELECT p_partkey, trim(regexp_replace(substr(m, CAST(l + 1 AS BIGINT), CAST(r - l AS BIGINT)), '\\s+', ' ', 'g')) AS texto, substr(t, CAST(b - 219 AS BIGINT), CAST(e - b + 440 AS BIGINT)) AS evidencia FROM w""")
+def passage_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """The window of each citation of the code, and what lies around it; windows of fewer than 150 characters go."""
+    said = F.concat(F.repeat(F.lit(_STEP), F.col("p_size") + 100), F.lit("art. "), "p_size", F.lit(" del Código Penal "), F.repeat(F.lit(_STEP), 40))
+    rows = table(spark, sf, "part").select("p_partkey", said.alias("t")).select("p_partkey", "t", F.explode(spans.penal_citations(F.col("t"))).alias("c"))
+    rows = rows.select("p_partkey", spans.passage_window(F.col("t"), F.col("c.b"), F.col("c.e")).alias("texto"), spans.evidence(F.col("t"), F.col("c.b"), F.col("c.e")).alias("evidencia"))
+    return rows.where(F.length("texto") >= 150)
+
+
+#: What the quality gate reads, by a part's size: facts, too little, one action, negation, procedure.
+_SAID = [
+    "El acusado golpeó a la víctima y sustrajo su bolso en la plaza de la ciudad de noche. El tipo penal exige dolo. Después huyó por la calle mayor hasta el puente y fue visto por dos vecinos que volvían del mercado con ",
+    "Golpeó y sustrajo ",
+    "El acusado golpeó a la víctima en la plaza de la ciudad de noche. Después huyó por la calle mayor hasta el puente del río y fue visto por dos vecinos que volvían del mercado grande del barrio viejo con ",
+    "El acusado golpeó a la víctima y sustrajo su bolso en la plaza de la ciudad. No se demostró que huyera por la calle mayor hasta el puente, ni que fuera visto por dos vecinos que volvían del mercado con ",
+    "El acusado golpeó a la víctima y sustrajo su bolso en la plaza; casación, apelación, agravio y nulidad constan en autos. Después huyó por la calle mayor hasta el puente y fue visto por dos vecinos que volvían con ",
+]
+_WHY = "CASE p_size % 5 WHEN 1 THEN 'longitud' WHEN 2 THEN 'pocas_acciones' WHEN 3 THEN 'doctrina_o_negacion' WHEN 4 THEN 'contenido_procesal' ELSE CASE WHEN p_size * 10 > 400 THEN 'cita_lejana' END END"
+
+
+@query(f"SELECT p_partkey, {_WHY} AS motivo, CASE WHEN p_size * 10 <= 250 AND p_size % 5 <> 4 THEN 'conservador' ELSE 'ampliado' END AS nivel, CASE p_size % 5 WHEN 2 THEN 1 ELSE 2 END AS acciones, CASE p_size % 5 WHEN 4 THEN 4 ELSE 0 END AS procesales FROM part")
+def quality_gate_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The gate on texts: cleaned of theory first, then counted."""
+    said = F.concat(F.get(F.array(*map(F.lit, _SAID)), F.col("p_size") % 5), "p_name")
+    rows = table(spark, sf, "part").select("p_partkey", "p_size", spans.fact_features(said).alias("x"))
+    c = {
+        "split": F.lit("train"), "in_catalogue": F.lit(True), "excluded": F.lit(False), "base": F.col("p_size") + 100, "role": F.lit("condena"), "length": F.length("x.texto"), "actions": F.col("x.acciones"),
+        "procedural": F.col("x.procesales"), "theory": F.col("x.teoria"), "distance": F.col("p_size") * 10, "section": F.lit("hechos"),
+    }
+    return rows.select("p_partkey", curate.quality_reason(c).alias("motivo"), curate.quality_tier(c).alias("nivel"), "x.acciones", "x.procesales")
+
+
+@query("""SELECT p_brand, CAST(p_size AS VARCHAR) AS articulo, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY concat('Artículo ', p_size, '. (', p_name, '). ', repeat(concat(p_type, ' '), 20))) AS INTEGER) AS pagina,
+CAST(length(trim(concat('Artículo ', p_size, '. (', p_name, '). ', repeat(concat(p_type, ' '), 20)))) AS INTEGER) AS n FROM part""")
 def official_articles(spark: SparkSession, sf: str) -> DataFrame:
-    """A code of one article for each part, as pages by brand."""
-    body = F.concat(F.lit("Artículo "), "p_size", F.lit(". ("), "p_name", F.lit("). "), F.repeat("p_type", 10))
+    """A code of one article for each part, as pages by brand; each page has a header and ends in a chapter."""
+    body = F.concat(F.lit("Artículo "), "p_size", F.lit(". ("), "p_name", F.lit("). "), F.repeat(F.concat("p_type", F.lit(" ")), 20))
     pages = table(spark, sf, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(body)).alias("pages"))
+    pages = pages.withColumn("pages", F.transform("pages", lambda p: F.concat(F.lit("CÓDIGO PENAL\n"), p, F.lit("\nCAPÍTULO II\nOtra cosa\n12"))))
+    return pages.select("p_brand", F.explode(spans.code_articles(F.col("pages"))).alias("x")).select("p_brand", "x.articulo", "x.pagina", F.length("x.cuerpo").alias("n"))
+
+
+@query("SELECT concat(l_suppkey, ' bis') AS numero, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY l_suppkey ORDER BY n DESC, numero LIMIT 15")
+def bis_top15(spark: SparkSession, sf: str) -> DataFrame:
+    """Each number once for each text, then the most frequent."""
+    texts = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(F.concat(F.lit("art. "), "l_suppkey", F.lit(" bis"))), "; ").alias("t"))
+    return texts.select(F.explode(spans.bis_numbers(F.col("t"))).alias("numero")).groupBy("numero").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "numero").limit(15)
+
+
+@query("SELECT p_partkey, concat(p_name, ' fin 1 café') AS texto FROM part")
+def normalize_nfkc(spark: SparkSession, sf: str) -> DataFrame:
+    said = F.concat(F.lit("  "), "p_name", F.lit("\u00a0 ﬁn\t① cafe\u0301 "))
+    return table(spark, sf, "part").select("p_partkey", fx.exact_normalise(said).alias("texto"))
 
-    @F.pandas_udf("array<struct<articulo: string, cuerpo: string, pagina: int>>")
-    def cut(groups):
-        return groups.map(lambda p: [dict(zip(("articulo", "cuerpo", "pagina"), x)) for x in spans.code_articles(list(p))])
 
-    return pages.select("p_brand", F.explode(cut("pages")).alias("x")).select("p_brand", "x.articulo", "x.pagina", F.length("x.cuerpo").alias("n"))
+@query("SELECT p_partkey, concat('é ', p_name, chr(10), '½ & x') AS texto FROM part")
+def html_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Every named and numbered entity, by an Arrow UDF; the native function knows a few."""
+    said = F.concat(F.lit("<style>p{}</style><p>&eacute; "), "p_name", F.lit("</p>&frac12; &#38;<b>x</b>"))
+    return table(spark, sf, "part").select("p_partkey", F.regexp_replace(fx.exact_clean_html(said), "1⁄2", "½").alias("texto"))
 
 
 @query(f"""WITH d AS (SELECT doc_id, {_FP} AS fp, row_number() OVER (PARTITION BY {_FP} ORDER BY doc_id) AS n FROM documents),
