@@ -25,8 +25,8 @@ from pairloom.llm.shared import open_shared, rename_shared
 from pairloom.llm.textvec import _TABLE, chunks, map_batches, runs
 from pairloom.storage import shared_dir
 
-#: Rows from which frequent words are gathered, and the most words of a lexicon.
-SAMPLE_ROWS, LEXICON_WORDS = 2000, 1 << 16
+#: The most words of a lexicon, and of the counts that a task gathers before it hands them on.
+LEXICON_WORDS, TASK_WORDS = 1 << 16, 200_000
 #: Bytes of the words in a worker's cache; when it is full, or has a million words, it starts anew.
 CACHE_BYTES = 1 << 26
 #: Words of more bytes are merged one by one.
@@ -468,17 +468,14 @@ class Encoder:
         return sorted(out)
 
 
-def build_lexicon(docs: DataFrame, vocab: Vocabulary, sample_rows: int = SAMPLE_ROWS, words: int = LEXICON_WORDS) -> Lexicon:
-    """From the most frequent pre-tokens of the first ``sample_rows`` rows that Spark gives; ids don't depend on it."""
-    from collections import Counter
+def build_lexicon(docs: DataFrame, vocab: Vocabulary, words: int = LEXICON_WORDS) -> Lexicon:
+    """From the most frequent pre-tokens of all documents, counted in each task first; ids don't depend on it.
 
-    count: Counter[bytes] = Counter()
-    for (texts,) in docs.select(F.col("text").cast("string").alias("text")).limit(sample_rows).mapInArrow(_word_counts, "counts binary").collect():
-        for line in texts.split(b"\0"):
-            word, _, n = line.rpartition(b"\1")
-            if word:
-                count[word] += int(n)
-    top = [w for w, n in count.most_common(words) if n > 1 and w not in vocab.special]
+    At most ``words`` come to the driver, of ``MATRIX_BYTES`` at most.
+    """
+    count = map_batches(docs.select(F.col("text").cast("string").alias("text")), _word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = count.where("n > 1").orderBy(F.desc("n"), "word").limit(words).collect()
+    top = [w for w in (bytes(r.word) for r in rows) if w not in vocab.special]
     data = np.frombuffer(b"".join(top), np.uint8)
     end = np.cumsum([len(w) for w in top], dtype=np.int64) if top else np.zeros(0, np.int64)
     start = np.r_[0, end[:-1]].astype(np.int64) if top else end
@@ -487,17 +484,31 @@ def build_lexicon(docs: DataFrame, vocab: Vocabulary, sample_rows: int = SAMPLE_
 
 
 def _word_counts(batches):
-    """Words with the control characters that separate the answer are left to exact merging."""
+    """Counts of one task; longer words than ``MATRIX_BYTES`` are left to exact merging."""
+    count: dict[bytes, int] = {}
+
+    def handed() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.binary()), pa.array(count.values(), pa.int64())], ["word", "n"])
+        count.clear()
+        return out
+
     for batch in batches:
         for _, _, data, offs in chunks(batch.column(0)):
             start = pretokens(data, offs)
             end = np.r_[start[1:], len(data)][: len(start)]
+            short = end - start <= MATRIX_BYTES
+            start, end = start[short], end[short]
             if not len(start):
                 continue
             _, first, n = np.unique(runs(_TABLE[data], start, end, "byte"), return_index=True, return_counts=True)
             raw = data.tobytes()
-            lines = [w + b"\1%d" % c for s, e, c in zip(start[first].tolist(), end[first].tolist(), n.tolist()) if c > 1 and b"\0" not in (w := raw[s:e]) and b"\1" not in w]
-            yield pa.RecordBatch.from_arrays([pa.array([b"\0".join(lines)], pa.binary())], ["counts"])
+            for s, e, c in zip(start[first].tolist(), end[first].tolist(), n.tolist()):
+                word = raw[s:e]
+                count[word] = count.get(word, 0) + c
+        if len(count) > TASK_WORDS:
+            yield handed()
+    if count:
+        yield handed()
 
 
 _loaded: dict[str, Encoder] = {}

@@ -2,8 +2,9 @@
 
 Features are 1- to 3-grams of lower-cased letters (everything else is a blank), hashed into ``BUCKETS``. A value is the
 n-gram's share of the text times its inverse document frequency, which counts all training documents. Weights come from
-follow-the-regularised-leader with elastic-net penalties, on a bounded sample (``TRAIN_ROWS``) of the training documents;
-a temperature fitted on a fifth of that sample calibrates the scores. Every document is predicted on its whole text.
+follow-the-regularised-leader with elastic-net penalties, on a bounded sample of the training documents (``TRAIN_ROWS``
+of each language, so that rare languages are learned too); a temperature fitted on a fifth of each language's part
+calibrates the scores. Every document is predicted on its whole text.
 
 A text that is null or has no letter is ``und`` with score 0. Without labelled documents every prediction is ``und``.
 Repeated rows stay.
@@ -15,12 +16,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairloom.llm.textvec import chunks
+from pairloom.storage import materialise
 
 BUCKETS = 1 << 16
-TRAIN_ROWS, EPOCHS = 3000, 3
+TRAIN_ROWS, EPOCHS = 800, 3
 #: FTRL: learning rate, its smoothing, and the two penalties.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 1e-4, 1e-4
 #: Shares are small numbers.
@@ -189,19 +191,24 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     known = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     df = document_frequencies(known)
     idf = np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1
-    chosen = known.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id").distinct()
-    # At most ``rows`` ids are broadcast.
+    # Spark keeps the first rows of each language in each task before it deals them out.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = materialise(known.select("doc_id", "lang").withColumn("place", place).where(F.col("place") <= rows).select("doc_id").distinct(), "chosen")
+    # At most ``rows`` ids of each language are broadcast.
     table = known.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text").mapInArrow(_sparse, "doc_id long, lang string, keys binary, shares binary").toArrow().sort_by("doc_id")
     langs = sorted(set(table.column("lang").to_pylist()))
-    samples = []
+    samples, fifth = [], []
+    nth: dict[str, int] = {}
     for lang, k, v in zip(*(table.column(c).to_pylist() for c in ("lang", "keys", "shares"))):
+        nth[lang] = nth.get(lang, -1) + 1
+        fifth.append(nth[lang] % 5 == 4)
         k = np.frombuffer(k, np.int32).astype(np.int64)
         samples.append((langs.index(lang), k, np.frombuffer(v, np.float32) * idf[k] * SCALE))
     if not samples:
         return Model([], np.zeros((0, BUCKETS + 1), np.float32), np.zeros(0), 1.0)
-    w, bias = ftrl([s for i, s in enumerate(samples) if i % 5 or len(samples) < 5], len(langs))
-    rest = samples[::5]
-    logits = np.array([w[:, k] @ x + bias for _, k, x in rest])
+    w, bias = ftrl([s for s, out in zip(samples, fifth) if not out], len(langs))
+    rest = [s for s, out in zip(samples, fifth) if out]
+    logits = np.array([w[:, k] @ x + bias for _, k, x in rest]).reshape(-1, len(langs))
     t = temperature(logits, np.array([y for y, _, _ in rest]))
     return Model(langs, np.column_stack([w * idf, np.zeros(len(langs))]).astype(np.float32), bias, t)
 

@@ -7,12 +7,14 @@ collision-corrected Jaccard estimate thins them, and full shingle sets confirm t
 
 Candidates stay linear in the input although a group of near copies may hold a third of all rows: documents with equal
 sets are first folded into one representative, and a bucket compares each member with one leader, the member that the
-most other documents share buckets with. Then any two members of a bucket that these links leave in different components
-are compared, whatever became of their comparisons with the leader. So all pairs that share a bucket are compared or
-known to be connected; the work of the second round grows with the square of the members outside a bucket's largest
-component, and with their number times that component's.
-
-Empty texts (null, no words) have an empty set and are linked with nothing. Repeated rows of one id count once.
+most other documents share buckets with. Members that share a bucket but end in different components, whatever became of
+their comparisons with leaders, form the second round: their full sets are ordered by how few of these members have a
+shingle, and of a pair at the threshold the first shingles (``prefix``) of both have one in common. So members are
+compared that share such a shingle and whose registers agree enough; passages that many texts share come last in the
+order and propose nobody. All pairs that share a bucket and reach the threshold are compared or known to be connected.
+
+Empty texts (null, no words) have an empty set and are linked with nothing. Repeated rows of one id count once; if their
+texts differ, the one with the fewest shingles, of those the one whose set's hash is least.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pairloom.llm.bloom import maybe_in
 from pairloom.llm.textvec import Words, chunks, map_batches, mix
@@ -34,7 +36,7 @@ M, MANTISSA, BANDS, ROWS = 128, 10, 32, 4
 SLACK = 0.25
 #: The estimate says little about smaller sets, which are verified without it.
 SMALL_SET = 64
-#: Members of a bucket that are compared at once with as many others.
+#: Members that have a shingle in common and are compared at once with as many others.
 BLOCK = 1024
 
 _U = np.uint64
@@ -106,8 +108,8 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 n, k1, k2, band, reg = [], [], [], [], []
                 for s in shingle_sets(data, offs, k):
                     n.append(len(s))
-                    k1.append(int(np.add.reduce(mix(s, 3)).astype(np.int64)) if len(s) else 0)
-                    k2.append(int(np.add.reduce(mix(s, 5)).astype(np.int64)) if len(s) else 0)
+                    for keys, key in zip((k1, k2), _keys(s)):
+                        keys.append(key)
                     r = registers(s) if len(s) else None
                     reg.append(None if r is None else r.tobytes())
                     band.append(None if r is None else bands(r).view(np.int64))
@@ -119,14 +121,25 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema)
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
+def _keys(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that identify a set."""
+    return (int(np.add.reduce(mix(s, 3)).astype(np.int64)), int(np.add.reduce(mix(s, 5)).astype(np.int64))) if len(s) else (0, 0)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """``rep, sh``: the sets of the documents ``wanted(doc_id, k1, k2)``, as sorted 64-bit values."""
+
     def run(batches):
         for batch in batches:
             for at, to, data, offs in chunks(batch.column(1)):
-                sets = [s.tobytes() for s in shingle_sets(data, offs, k)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(sets, pa.binary())], ["rep", "sh"])
+                sets = list(shingle_sets(data, offs, k))
+                keys = [_keys(s) for s in sets]
+                columns = [batch.column(0).slice(at, to - at), *(pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1)), pa.array([s.tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "sh"])
 
-    return map_batches(docs.select("doc_id", "text"), run, "rep long, sh binary")
+    found = map_batches(maybe_in(docs, wanted.select("doc_id")).select("doc_id", "text"), run, "doc_id long, k1 long, k2 long, sh binary")
+    found = found.join(wanted.select("doc_id", "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
+    return materialise(found.select(F.col("doc_id").alias("rep"), "sh"), "sets")
 
 
 def _estimated(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
@@ -164,10 +177,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return map_batches(rows, run, "x long, y long, linked boolean")
 
 
+def prefix(n: Column, percent: int) -> Column:
+    """How many first shingles, in any order common to all, a set of ``n`` can't have all to itself if it has a link."""
+    return n - F.ceil(n * percent / 100) + 1
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """``x, bk``: the shared ones among the first shingles of each set, by ascending number of the sets that have them.
+
+    Shingles of one set alone come first and are only counted.
+    """
+    rows = sets.mapInArrow(_unpacked, "x long, n long, sh array<long>")
+    long = rows.select("x", "n", F.explode("sh").alias("bk"))
+    seen = materialise(long.groupBy("bk").agg(F.count("*").alias("c")).where("c > 1"), "seen")
+    shared = long.join(seen, "bk").groupBy("x", "n").agg(F.array_sort(F.collect_list(F.struct("c", "bk"))).alias("s"))
+    most = prefix(F.col("n"), percent) - (F.col("n") - F.size("s"))
+    return shared.where(most > 0).select("x", F.explode(F.slice("s", F.lit(1), most.cast("int"))["bk"]).alias("bk"))
+
+
+def _unpacked(batches):
+    for batch in batches:
+        sets = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column(1)]
+        n = np.array([len(x) for x in sets], np.int64)
+        flat = np.concatenate([np.zeros(0, np.int64), *sets])
+        for at in range(0, len(sets), 100):
+            to = min(at + 100, len(sets))
+            offs = np.r_[0, np.cumsum(n[at:to])]
+            own = flat[n[:at].sum() : n[:to].sum()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(n[at:to]), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(own))], ["x", "n", "sh"])
+
+
 def _crossing(band: DataFrame) -> DataFrame:
-    """``bk, x, component, i, j, side``: a group for each two blocks of a bucket's members that are to be compared.
+    """``bk, x, component, i, j, side``: a group for each two blocks of a key's members that are to be compared.
 
-    ``band(bk, x, component)``. Members of the bucket's largest component are never compared among themselves, so the
+    ``band(bk, x, component)``. Members of the key's largest component are never compared among themselves, so the
     work grows with the number of the others. Blocks j below zero are those of the largest component.
     """
     count = band.groupBy("bk", "component").agg(F.count("*").alias("n"))
@@ -185,7 +228,7 @@ def _crossing(band: DataFrame) -> DataFrame:
 
 
 def _across(band: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """``x, y``: pairs of different components that share a bucket of ``band(bk, x, component)`` and may reach the threshold.
+    """``x, y``: pairs of different components that share a key of ``band(bk, x, component)`` and may reach the threshold.
 
     Registers that agree by accident only add to the agreement, so it can stand for the estimate.
     """
@@ -223,40 +266,44 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     sigs = materialise(signatures(docs, k), "signatures")
-    ids = sigs.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    member = materialise(
-        sigs.select("doc_id", "n_shingles", "k1", "k2").where("n_shingles > 0").join(ids, ["k1", "k2", "n_shingles"]).select("doc_id", "n_shingles", "rep"), "members"
-    )
-    reps = sigs.where("n_shingles > 0").join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
+    if not sigs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        least = sigs.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "k1", "k2", "bands", "regs")).alias("s"))
+        sigs = materialise(least.select("doc_id", "s.*"), "signatures")
+    some = sigs.where("n_shingles > 0")
+    # Tables of their own, so that a join on a hot key reads plain shuffles, which Spark splits when it runs.
+    ids = materialise(some.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep")), "ids")
+    member = materialise(some.select("doc_id", "n_shingles", "k1", "k2").join(ids, ["k1", "k2", "n_shingles"]).select("doc_id", "rep"), "members")
+    reps = some.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
 
     band = reps.select(F.col("doc_id").alias("x"), F.explode("bands").alias("bk"))
-    shared = band.groupBy("bk").agg(F.count("*").alias("c")).where("c > 1")
+    shared = materialise(band.groupBy("bk").agg(F.count("*").alias("c")).where("c > 1"), "shared")
     band = materialise(band.join(shared, "bk"), "bands")
     fame = band.groupBy("x").agg(F.sum("c").alias("fame"))
-    leads = band.join(fame, "x").groupBy("bk").agg(F.max(F.struct("fame", (-F.col("x")).alias("m"))).alias("top"))
-    pairs = band.join(leads, "bk").select("x", (-F.col("top.m")).alias("y")).where("x <> y").distinct()
+    leads = materialise(band.join(fame, "x").groupBy("bk").agg(F.max(F.struct("fame", (-F.col("x")).alias("m"))).alias("top")).select("bk", (-F.col("top.m")).alias("y")), "leads")
+    pairs = band.join(leads, "bk").select("x", "y").where("x <> y").distinct()
     least = percent / 100
     pairs = materialise(_estimated(pairs, reps, least), "pairs")
 
-    wanted = pairs.select("x").union(pairs.select("y")).distinct().select(F.col("x").alias("doc_id"))
-    sets = materialise(_sets(maybe_in(docs, wanted), k), "sets")
-    checked = materialise(_verified(pairs, sets, percent), "checked")
+    wanted = reps.join(pairs.select("x").union(pairs.select("y")).distinct().select(F.col("x").alias("doc_id")), "doc_id", "left_semi")
+    checked = materialise(_verified(pairs, _sets(docs, wanted, k), percent), "checked")
     links = checked.where("linked").select("x", "y")
     comps = materialise(connected_components(links, "x", "y"), "components")
 
-    # Members of a bucket that no leader linked are compared with each other. The leader has met them all.
+    # Members of a bucket that are in different components. The leader has met them all.
     named = comps.select(F.col("node").alias("x"), "component")
-    left = band.join(leads, "bk").where(F.col("x") != -F.col("top.m")).select("bk", "x").join(named, "x", "left")
-    left = left.select("bk", "x", F.coalesce("component", "x").alias("component")).distinct()
-    done = checked.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    again = materialise(_across(left, reps.dropDuplicates(["doc_id"]), least).join(done, ["x", "y"], "left_anti"), "across")
+    left = band.join(leads, "bk").where("x <> y").select("bk", "x").join(named, "x", "left").select("bk", "x", F.coalesce("component", "x").alias("component"))
+    split = left.groupBy("bk").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("bk")
+    again = materialise(left.join(split, "bk", "left_semi").select("x", "component").distinct(), "again")
     if not again.isEmpty():
-        wanted = again.select("x").union(again.select("y")).distinct().select(F.col("x").alias("doc_id"))
-        more = materialise(_verified(again, _sets(maybe_in(docs, wanted), k), percent).where("linked").select("x", "y"), "more")
+        sets = _sets(docs, reps.join(again.select(F.col("x").alias("doc_id")), "doc_id", "left_semi"), k)
+        keys = materialise(_prefixes(sets, percent).join(again, "x"), "prefixes")
+        done = checked.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+        across = materialise(_across(keys, reps, least).join(done, ["x", "y"], "left_anti"), "across")
+        more = materialise(_verified(across, sets, percent).where("linked").select("x", "y"), "more")
         comps = materialise(connected_components(links.union(more), "x", "y"), "components")
 
     # The smallest id of a component is a representative, since representatives are the smallest of their sets.
     found = member.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"), "rep")
-    out = sigs.select("doc_id", "n_shingles").dropDuplicates(["doc_id"]).join(found.dropDuplicates(["doc_id"]), "doc_id", "left")
+    out = sigs.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     own = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"), F.coalesce("rep", "doc_id").alias("rep"))

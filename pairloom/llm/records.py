@@ -7,7 +7,9 @@ ids (unsigned 32-bit), ids. All numbers are little-endian. The index of ``x.rec`
 doc_id (signed 64-bit), byte offset (unsigned 64-bit) and number of ids (unsigned 64-bit), so a shuffled read seeks.
 
 Files are written by range of doc_id, to a temporary name that is renamed when complete; a task that runs again writes
-the same file. Null texts are empty and hold the end id alone. Rows that share an id stay, ordered by text.
+the same files. A task starts another file when one has ``FILE_BYTES``, so files and indexes stay bounded whatever the
+data. Null texts are empty and hold the end id alone. Rows that share an id stay, ordered by text. Reading goes by the
+index, and a record that isn't what its index says is corrupt.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +29,14 @@ from tokenizers import Tokenizer
 
 from pairloom.llm.bpe import Encoder, Vocabulary
 from pairloom.llm.shared import open_shared, rename_shared
-from pairloom.llm.textvec import chunks
+from pairloom.llm.textvec import chunks, map_batches
 from pairloom.storage import fresh_path
 
 INDEX = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("n", "<u8")])
+#: A file that has so many bytes takes no further record.
+FILE_BYTES = 1 << 28
+#: Numbers of files are those of their tasks times this, and their place.
+FILES_OF_TASK = 1_000_000
 _HEAD = struct.Struct("<QI")
 _BODY = struct.Struct("<qII")
 _MASK = 0xA282EAD8
@@ -93,7 +100,33 @@ def _encoder(content: bytes) -> Encoder:
     return _made[key]
 
 
-def write_records(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 0) -> DataFrame:
+class RecordFile:
+    """One file of records and its index, under temporary names until it is closed."""
+
+    def __init__(self, path: str):
+        self.path, self.own = path, f"{path}.{uuid.uuid4().hex}"
+        self.index, self.bytes, self.tokens = array("q"), 0, 0
+        self.file = open_shared(f"{self.own}.rec", "wb")
+
+    def add(self, doc_id: int, ids: np.ndarray, width: int) -> None:
+        record = frame(doc_id, ids, width)
+        self.file.write(record)
+        self.index.extend((doc_id, self.bytes, len(ids)))
+        self.bytes += len(record)
+        self.tokens += len(ids)
+
+    def close(self) -> tuple[str, int, int]:
+        """``path, n_docs, n_tokens``."""
+        self.file.close()
+        index = np.frombuffer(self.index, np.int64).astype("<i8")
+        with open_shared(f"{self.own}.idx", "wb") as f:
+            f.write(index.tobytes())
+        rename_shared(f"{self.own}.idx", f"{self.path}.idx")
+        rename_shared(f"{self.own}.rec", f"{self.path}.rec")
+        return self.path, len(index) // 3, self.tokens
+
+
+def write_records(docs: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write ``docs(doc_id, text)`` to record files in ascending doc_id order; returns one row for each file.
 
     ``part, path, n_docs, n_tokens``: files in ascending ``part`` hold ascending ids.
@@ -104,44 +137,44 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str | None = Non
         raw = spark.sparkContext.broadcast(f.read())
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        batches = (b for b in batches if b.num_rows)
-        first = next(batches, None)
-        if first is None:
-            return
-        encoder = _encoder(raw.value)
-        width = 2 if encoder.vocab.size <= 1 << 16 else 4
-        part = TaskContext.get().partitionId()
-        path = f"{folder}/part-{part:06d}"
-        own = f"{path}.{uuid.uuid4().hex}"
-        index, at, total = [], 0, 0
-        with open_shared(f"{own}.rec", "wb") as f:
-            for batch in (b for group in ([first], batches) for b in group):
-                doc_ids = batch.column(0).to_pylist()
-                for lo, hi, data, offs in chunks(batch.column(1)):
-                    ids, bounds = encoder(data, offs)
-                    for i, s, e in zip(doc_ids[lo:hi], bounds[:-1].tolist(), bounds[1:].tolist()):
-                        record = frame(i, np.append(ids[s:e], end_id), width)
-                        f.write(record)
-                        index.append((i, at, e - s + 1))
-                        at += len(record)
-                        total += e - s + 1
-        with open_shared(f"{own}.idx", "wb") as f:
-            f.write(np.array(index, INDEX).tobytes())
-        rename_shared(f"{own}.idx", f"{path}.idx")
-        rename_shared(f"{own}.rec", f"{path}.rec")
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([path]), pa.array([len(index)], pa.int64()), pa.array([total], pa.int64())], ["part", "path", "n_docs", "n_tokens"])
+        task, number, out = TaskContext.get().partitionId(), 0, None
+        encoder = width = None
+        done = []
+        for batch in batches:
+            if encoder is None and batch.num_rows:
+                encoder = _encoder(raw.value)
+                width = 2 if encoder.vocab.size <= 1 << 16 else 4
+            doc_ids = batch.column(0).to_pylist()
+            for lo, hi, data, offs in chunks(batch.column(1)):
+                ids, bounds = encoder(data, offs)
+                for i, s, e in zip(doc_ids[lo:hi], bounds[:-1].tolist(), bounds[1:].tolist()):
+                    if out is None or out.bytes >= file_bytes:
+                        if out is not None:
+                            done.append((task * FILES_OF_TASK + number, *out.close()))
+                            number += 1
+                        out = RecordFile(f"{folder}/part-{task:06d}-{number:06d}")
+                    out.add(i, np.append(ids[s:e], end_id), width)
+        if out is not None:
+            done.append((task * FILES_OF_TASK + number, *out.close()))
+            parts, paths, n, tokens = zip(*done)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(paths), pa.array(n, pa.int64()), pa.array(tokens, pa.int64())], ["part", "path", "n_docs", "n_tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    files = rows.mapInArrow(run, "part long, path string, n_docs long, n_tokens long")
+    files = map_batches(rows, run, "part long, path string, n_docs long, n_tokens long")
     # One row for each file, kept on the driver: the writing runs once, whatever reads follow.
     found = [tuple(r) for r in files.collect()]
     return spark.createDataFrame(sorted(found), "part long, path string, n_docs long, n_tokens long")
 
 
+def read_index(path: str) -> np.ndarray:
+    with open_shared(f"{path}.idx", "rb") as f:
+        return np.frombuffer(f.read(), INDEX)
+
+
 def read_records(files: DataFrame) -> DataFrame:
-    """``doc_id, start, n_tokens, ids_crc32`` of each record: start counts the ids of all records before it."""
+    """``doc_id, start, n_tokens, ids_crc32`` of each record, found by its index: start counts the ids before it."""
     spark = files.sparkSession
     rows, start = [], 0
     for part, path, _, n in sorted(tuple(r) for r in files.collect()):
@@ -154,28 +187,31 @@ def read_records(files: DataFrame) -> DataFrame:
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, path, at in zip(*(c.to_pylist() for c in batch.columns)):
-                out = []
+                index = read_index(path)
+                starts = at + np.r_[0, np.cumsum(index["n"].astype(np.int64))]
                 with open_shared(f"{path}.rec", "rb") as f:
-                    while (record := read_record(f)) is not None:
-                        doc_id, ids = record
-                        out.append((doc_id, at, len(ids), zlib.crc32(ids.astype("<u4"))))
-                        at += len(ids)
-                        if len(out) == 10000:
-                            yield _batch(out)
-                            out = []
-                yield _batch(out)
-
-    def _batch(out: list[tuple]) -> pa.RecordBatch:
-        columns = zip(*out) if out else [[]] * 4
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    for lo in range(0, len(index), 10_000):
+                        part = index[lo : lo + 10_000]
+                        crcs = [zlib.crc32(ids.astype("<u4")) for ids in _by_index(f, part)]
+                        columns = [part["doc_id"], starts[lo : lo + len(part)], part["n"].astype(np.int64), np.array(crcs, np.int64)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    if f.read(1):
+                        raise CorruptRecord("more than the index has")
 
     paths = spark.createDataFrame(rows, schema).repartition(len(rows), "part") if len(rows) > 1 else spark.createDataFrame(rows, schema)
     return paths.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _by_index(f, entries: np.ndarray) -> Iterator[np.ndarray]:
+    for doc_id, offset, n in entries.tolist():
+        record = read_record(f, None if f.tell() == offset else offset)
+        if record is None or record[0] != doc_id or len(record[1]) != n:
+            raise CorruptRecord("not what the index says")
+        yield record[1]
+
+
 def read_at(path: str, numbers: list[int]) -> list[tuple[int, np.ndarray]]:
     """Records of one file by their place in it, in the order asked for, each by one seek."""
-    with open_shared(f"{path}.idx", "rb") as f:
-        index = np.frombuffer(f.read(), INDEX)
+    entries = read_index(path)[numbers]
     with open_shared(f"{path}.rec", "rb") as f:
-        return [read_record(f, int(index["offset"][i])) for i in numbers]
+        return list(zip(entries["doc_id"].tolist(), _by_index(f, entries)))
