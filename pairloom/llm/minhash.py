@@ -37,7 +37,7 @@ SLACK = 0.25
 #: The estimate says little about smaller sets, which are verified without it.
 SMALL_SET = 64
 #: Members that have a shingle in common and are compared at once with as many others.
-BLOCK = 1024
+BLOCK = 512
 
 _U = np.uint64
 _PROBES = np.array([np.random.default_rng(7 + i).permutation(M) for i in range(M)])
@@ -183,16 +183,15 @@ def prefix(n: Column, percent: int) -> Column:
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """``x, bk``: the shared ones among the first shingles of each set, by ascending number of the sets that have them.
-
-    Shingles of one set alone come first and are only counted.
-    """
+    """``x, bk, at``: the shared ones among the first shingles of each set, by ascending number of the sets that have them,
+    with their place. Shingles of one set alone come first and are only counted."""
     rows = sets.mapInArrow(_unpacked, "x long, n long, sh array<long>")
     long = rows.select("x", "n", F.explode("sh").alias("bk"))
     seen = materialise(long.groupBy("bk").agg(F.count("*").alias("c")).where("c > 1"), "seen")
     shared = long.join(seen, "bk").groupBy("x", "n").agg(F.array_sort(F.collect_list(F.struct("c", "bk"))).alias("s"))
-    most = prefix(F.col("n"), percent) - (F.col("n") - F.size("s"))
-    return shared.where(most > 0).select("x", F.explode(F.slice("s", F.lit(1), most.cast("int"))["bk"]).alias("bk"))
+    own = F.col("n") - F.size("s")
+    most = prefix(F.col("n"), percent) - own
+    return shared.where(most > 0).select("x", own.alias("own"), F.posexplode(F.slice("s", F.lit(1), most.cast("int"))["bk"]).alias("at", "bk")).select("x", "bk", (F.col("own") + F.col("at")).alias("at"))
 
 
 def _unpacked(batches):
@@ -208,9 +207,9 @@ def _unpacked(batches):
 
 
 def _crossing(band: DataFrame) -> DataFrame:
-    """``bk, x, component, i, j, side``: a group for each two blocks of a key's members that are to be compared.
+    """``bk, x, component, at, i, j, side``: a group for each two blocks of a key's members that are to be compared.
 
-    ``band(bk, x, component)``. Members of the key's largest component are never compared among themselves, so the
+    ``band(bk, x, component, at)``. Members of the key's largest component are never compared among themselves, so the
     work grows with the number of the others. Blocks j below zero are those of the largest component.
     """
     count = band.groupBy("bk", "component").agg(F.count("*").alias("n"))
@@ -224,18 +223,20 @@ def _crossing(band: DataFrame) -> DataFrame:
         F.sequence(-F.col("nb"), last),
         lambda j: F.struct(F.when(j < 0, b).otherwise(F.least(b, j)).alias("i"), F.when(j < 0, j).otherwise(F.greatest(b, j)).alias("j"), ((j >= 0) & (j < b)).alias("side")),
     )
-    return rows.select("bk", "x", "component", F.explode(F.when(F.col("main"), main).otherwise(other)).alias("g")).select("bk", "x", "component", "g.*")
+    return rows.select("bk", "x", "component", "at", F.explode(F.when(F.col("main"), main).otherwise(other)).alias("g")).select("bk", "x", "component", "at", "g.*")
 
 
 def _across(band: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """``x, y``: pairs of different components that share a key of ``band(bk, x, component)`` and may reach the threshold.
+    """``x, y``: pairs of different components that share a key of ``band(bk, x, component, at)`` and may reach the threshold.
 
-    Registers that agree by accident only add to the agreement, so it can stand for the estimate.
+    If a shingle is the first that two sets share, they share no more than either has from there on (``at``). Registers
+    that agree by accident only add to the agreement, so it can stand for the estimate.
     """
     rows = _crossing(band).join(sigs.select(F.col("doc_id").alias("x"), F.col("n_shingles").alias("n"), "regs"), "x")
 
     def run(group: pa.Table) -> pa.Table:
-        x, comp, n, side = (group.column(c).to_numpy() for c in ("x", "component", "n", "side"))
+        x, comp, n, side, place = (group.column(c).to_numpy() for c in ("x", "component", "n", "side", "at"))
+        left = n - place
         regs = np.frombuffer(b"".join(group.column("regs").to_pylist()), np.uint16).reshape(-1, M)
         own = group.column("i")[0].as_py() == group.column("j")[0].as_py()
         p, q = np.flatnonzero(~side), np.flatnonzero(side)
@@ -243,7 +244,8 @@ def _across(band: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
         found = [np.zeros((0, 2), np.int64)]
         for at in range(0, len(p), 64):
             a = p[at : at + 64, None]
-            u, v = np.nonzero((comp[a] != comp[q]) & (np.minimum(n[a], n[q]) >= np.maximum(n[a], n[q]) * least))
+            enough = np.minimum(left[a], left[q]) * (1 + least) >= least * (n[a] + n[q]) - 1e-6
+            u, v = np.nonzero((comp[a] != comp[q]) & enough)
             u, v = a[u, 0], q[v]
             if own:
                 u, v = u[u < v], v[u < v]
