@@ -154,12 +154,35 @@ def word_list(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"(?U)(\w+)"), F.lit(1))
 
 
+def shingle_hashes(text: Column, k: int = 5) -> Column:
+    """64-bit hashes of the distinct runs of k plain words."""
+    run = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.xxhash64(F.slice(w, i, k)))
+    return once(word_list(plain(text)), lambda w: F.when(F.size(w) >= k, F.array_distinct(run(w))).otherwise(F.array().cast("array<long>")))
+
+
 def shingles(text: Column, k: int = 5) -> Column:
     """The distinct runs of k plain words; none if there are fewer."""
     w = F.transform(F.array(word_list(plain(text))), lambda v: F.when(F.size(v) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(v) - k + 1), lambda i: F.array_join(F.slice(v, i, k), " ")))).otherwise(F.array().cast("array<string>")))
     return F.get(w, 0)
 
 
-def substitute(text: Column, source: str, variant: str) -> Column:
-    """Whole-word replacement, whatever the case."""
-    return F.regexp_replace(text, rf"(?iu)(?<!\w){re.escape(source)}(?!\w)", variant)
+def substitute(text: Column, source: str, variant: str | Column) -> Column:
+    """Whole-word replacement, whatever the case; ``variant`` is a literal text."""
+    literal = F.lit(variant) if isinstance(variant, str) else variant
+    literal = F.regexp_replace(literal, r"([\\$])", r"\\$1")
+    return F.regexp_replace(text, F.lit(rf"(?iuU)(?<!\w){re.escape(source)}(?!\w)"), literal)
+
+
+def escaped(text: Column) -> Column:
+    """For markup."""
+    out = F.coalesce(text.cast("string"), F.lit(""))
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(char), F.lit(name))
+    return out
+
+
+def prefixed(text: Column, kind: str) -> Column:
+    """As encoders of the E5 family want their input; ``kind`` is ``query`` or ``passage``."""
+    if kind not in ("query", "passage"):
+        raise ValueError(kind)
+    return F.concat(F.lit(f"{kind}: "), normalise(text))

@@ -38,10 +38,20 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, orde
     return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("__side = 1").select(*cols, value)
 
 
+def with_anchor(nearest_rows: DataFrame, right: DataFrame, key: str, start: str, keep: list[str]) -> DataFrame:
+    """All rows of ``right`` that start where a nearest one does: citations that one anchor names together."""
+    return nearest_rows.select(key, start, *keep).distinct().join(right, [key, start])
+
+
 def uncovered(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
-    """Points in none of the spans [start, end) of their key."""
-    s = spans.select(F.col(key).alias("__key"), F.col(start).alias("__s"), F.col(end).alias("__e"))
-    return points.join(s, (points[key] == s["__key"]) & (points[at] >= s["__s"]) & (points[at] < s["__e"]), "left_anti")
+    """Points in none of the spans [start, end) of their key, by one sort of both: a point is covered if a span that
+    starts at or before it ends after it."""
+    cols = points.columns
+    marks = spans.where(F.col(end) > F.col(start)).select(F.col(key), F.col(start).alias("__at"), F.col(end).alias("__end"), F.lit(0).alias("__side"))
+    rows = points.withColumns({"__at": F.col(at), "__end": F.lit(None).cast(marks.schema["__end"].dataType), "__side": F.lit(1)})
+    w = Window.partitionBy(key).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = rows.unionByName(marks, allowMissingColumns=True).withColumn("__reach", F.max("__end").over(w))
+    return reach.where((F.col("__side") == 1) & ~F.coalesce(F.col("__reach") > F.col("__at"), F.lit(False))).select(cols)
 
 
 def containment(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tokens: str, least: float = 0.75) -> DataFrame:

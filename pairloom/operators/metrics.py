@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
-def per_query(ranked: DataFrame, gold: DataFrame, query: str, item: str, cuts: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
-    """Hits of each query: ``first_rank``, ``hits_k`` for each cut, ``dcg10`` and ``idcg10``, ``n_gold``, ``n_ranked``."""
+def per_query(top: DataFrame, gold: DataFrame, ranks: DataFrame, query: str, item: str, cuts: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """Hits of each query: ``first_rank``, ``hits_k`` for each cut, ``dcg10`` and ``idcg10``, ``n_gold``, ``n_ranked``.
+
+    ``top`` holds the best 10 of a ranking; ``ranks(query, first_rank, n_ranked)`` what needs all of it.
+    """
     size = gold.groupBy(query).agg(F.count("*").alias("n_gold"))
-    marked = ranked.join(gold.select(query, item, F.lit(1).alias("hit")), [query, item], "left")
+    marked = top.join(gold.select(query, item, F.lit(1).alias("hit")), [query, item], "left")
     aggs = [F.count_if((F.col("rank") <= k) & (F.col("hit") == 1)).alias(f"hits_{k}") for k in cuts]
     gain = F.when((F.col("hit") == 1) & (F.col("rank") <= 10), 1 / F.log2(F.col("rank") + 1))
-    out = marked.groupBy(query).agg(F.count("*").alias("n_ranked"), F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first_rank"), F.coalesce(F.sum(gain), F.lit(0.0)).alias("dcg10"), *aggs)
+    out = marked.groupBy(query).agg(F.coalesce(F.sum(gain), F.lit(0.0)).alias("dcg10"), *aggs)
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.lit(10), F.col("n_gold")).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
-    return out.join(size, query).withColumn("idcg10", ideal)
+    return out.join(size, query).join(ranks, query).withColumn("idcg10", ideal)
 
 
-def ir_metrics(ranked: DataFrame, gold: DataFrame, query: str, item: str, cuts: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
-    """One row: accuracy at 1, MRR, NDCG at 10, recall and precision at each cut."""
-    q = per_query(ranked, gold, query, item, cuts)
+def ir_metrics(q: DataFrame, cuts: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+    """One row from ``per_query``: accuracy at 1, MRR, NDCG at 10, recall and precision at each cut."""
     aggs = [F.avg((F.col("hits_1") > 0).cast("double")).alias("accuracy_1"), F.avg(F.coalesce(1 / F.col("first_rank"), F.lit(0.0))).alias("mrr"), F.avg(F.col("dcg10") / F.col("idcg10")).alias("ndcg_10")]
     for k in cuts:
         aggs += [F.avg(F.col(f"hits_{k}") / F.col("n_gold")).alias(f"recall_{k}"), F.avg(F.col(f"hits_{k}") / F.least(F.lit(k), F.col("n_ranked"))).alias(f"precision_{k}")]
@@ -46,15 +48,54 @@ def f1_table(counts: DataFrame) -> DataFrame:
     return counts.select("label", _ratio(tp, tp + fp).alias("precision"), _ratio(tp, tp + fn).alias("recall"), _ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), (tp + fn).alias("support"))
 
 
-def f1_summary(counts: DataFrame) -> DataFrame:
-    """One row: F1 macro, micro and weighted."""
-    micro = counts.agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn")).select(F.round(_ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), 6).alias("f1_micro"))
-    rest = f1_table(counts).agg(F.round(F.avg("f1"), 6).alias("f1_macro"), F.round(F.sum(F.col("f1") * F.col("support")) / F.sum("support"), 6).alias("f1_weighted"))
-    return rest.crossJoin(micro)
+def set_counts(records: DataFrame, truth: str, predicted: str, weight: str | None = None) -> DataFrame:
+    """``label, tp, fp, fn`` where each row has an array of true labels and one predicted label."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    hit = F.array_contains(truth, F.col(predicted))
+    cell = lambda label, tp, fp, fn: F.struct(label.alias("label"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
+    none = F.lit(0.0)
+    true = F.transform(F.array_distinct(truth), lambda x: cell(x, F.when(x == F.col(predicted), w).otherwise(0.0), none, F.when(x == F.col(predicted), 0.0).otherwise(w)))
+    wrong = F.when(hit, F.array().cast("array<struct<label:string,tp:double,fp:double,fn:double>>")).otherwise(F.array(cell(F.col(predicted), none, w, none)))
+    rows = records.select(F.explode(F.concat(true, wrong)).alias("x")).select("x.*")
+    return rows.groupBy("label").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
 
 
-def model_choice(reference: dict[str, float], candidate: dict[str, float], least_gain: float = 1e-9) -> str:
-    """``candidata`` only if it gains in F1 macro and loses in none of the other figures that both have."""
-    others = [k for k in ("accuracy_1", "recall_3", "f1_macro_group") if k in reference]
-    better = candidate["f1_macro"] > reference["f1_macro"] + least_gain
-    return "candidata" if better and candidate.get("queries") == reference.get("queries") and all(candidate[k] >= reference[k] for k in others) else "referencia"
+def f1_summary(counts: DataFrame) -> DataFrame:
+    """One row: F1, precision and recall, each macro, micro and weighted by true support."""
+    total = {c: F.sum(c) for c in ("tp", "fp", "fn")}
+    micro = [_ratio(2 * total["tp"], 2 * total["tp"] + total["fp"] + total["fn"]), _ratio(total["tp"], total["tp"] + total["fp"]), _ratio(total["tp"], total["tp"] + total["fn"])]
+    names = ("f1", "precision", "recall")
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    each = counts.select("tp", "fp", "fn", (tp + fn).alias("support"), _ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), _ratio(tp, tp + fp).alias("precision"), _ratio(tp, tp + fn).alias("recall"))
+    aggs = [F.round(F.avg(n), 6).alias(f"{n}_macro") for n in names] + [F.round(m, 6).alias(f"{n}_micro") for n, m in zip(names, micro)]
+    aggs += [F.round(_ratio(F.sum(F.col(n) * F.col("support")), F.sum("support")), 6).alias(f"{n}_weighted") for n in names]
+    return each.agg(*aggs)
+
+
+def group_weights(records: DataFrame, query: str, group: str) -> DataFrame:
+    """``records`` with ``weight``, one over the queries of its group; an error names a query of several groups."""
+    mine = Window.partitionBy(query)
+    several = F.size(F.collect_set(group).over(mine)) > 1
+    checked = F.when(several, F.raise_error(F.concat(F.lit("several groups: "), F.col(query).cast("string"))).cast("string")).otherwise(F.col(group).cast("string"))
+    rows = records.withColumn("__group", checked)
+    return rows.withColumn("weight", 1 / F.count("*").over(Window.partitionBy("__group"))).drop("__group")
+
+
+#: Figures that must not fall, by at most so much.
+CONTROLS, TOLERANCE = ("accuracy_1", "recall_3", "f1_macro_group"), 1e-9
+
+
+def model_choice(figures: DataFrame) -> DataFrame:
+    """``eleccion, motivos``, from ``figures(modelo, queries, candidates, f1_macro, ...)`` of ``referencia`` and ``candidato``.
+
+    The candidate is chosen only if its F1 macro is higher and none of ``CONTROLS`` falls. Figures from other numbers of
+    queries or candidates are an error.
+    """
+    names = ("queries", "candidates", "f1_macro", *CONTROLS)
+    of = lambda model: [F.max(F.when(F.col("modelo") == model, F.col(n))).alias(f"{model}_{n}") for n in names]
+    row = figures.agg(*of("referencia"), *of("candidato"))
+    ref, cand = ({n: F.col(f"{m}_{n}") for n in names} for m in ("referencia", "candidato"))
+    same = ref["queries"].eqNullSafe(cand["queries"]) & ref["candidates"].eqNullSafe(cand["candidates"])
+    reasons = F.array(F.when(cand["f1_macro"] <= ref["f1_macro"] + TOLERANCE, F.lit("f1_macro")), *(F.when(cand[n] + TOLERANCE < ref[n], F.lit(n)) for n in CONTROLS))
+    found = row.select(F.when(same, F.array_compact(reasons)).otherwise(F.raise_error(F.lit("figures that can't be compared")).cast("array<string>")).alias("r"))
+    return found.select(F.when(F.size("r") > 0, "referencia").otherwise("candidato").alias("eleccion"), F.array_join("r", ",").alias("motivos"))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  used as pa.compute
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairloom.functions.text import casefold, word_list
+from pairloom.storage import materialise
 
 
 def rank(rows: DataFrame, query: str, item: str, score: str, k: int | None = None) -> DataFrame:
@@ -13,41 +19,135 @@ def rank(rows: DataFrame, query: str, item: str, score: str, k: int | None = Non
     return out if k is None else out.where(F.col("rank") <= k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+#: Queries that are scored together: their vectors are sent to every task.
+QUERY_BLOCK = 10_000
+#: Corpus rows that are multiplied with a block of queries at once.
+CORPUS_ROWS = 1000
+
+
+def _blocks(queries: DataFrame, query: str, vector: str) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The stated query set, in blocks of ids and vectors; null vectors answer nothing."""
+    rows = queries.select(F.col(query).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v")).where("q is not null and v is not null")
+    out, ids, vectors = [], [], []
+    for r in rows.toLocalIterator():
+        ids.append(r.q)
+        vectors.append(r.v)
+        if len(ids) == QUERY_BLOCK:
+            out.append((np.array(ids), np.array(vectors)))
+            ids, vectors = [], []
+    return [*out, (np.array(ids), np.array(vectors))] if ids else out
+
+
+def _products(batches, vectors: np.ndarray):
+    """``ids, scores`` of pieces of the corpus: a row for each corpus row, a column for each query."""
+    for batch in batches:
+        batch = batch.filter(pa.compute.is_valid(batch.column(1)))
+        for at in range(0, batch.num_rows, CORPUS_ROWS):
+            part = batch.slice(at, CORPUS_ROWS)
+            flat = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            yield part.column(0).to_numpy(zero_copy_only=False), np.round(flat.reshape(part.num_rows, -1) @ vectors.T, 9)
+
+
+def _scored(queries: DataFrame, corpus: DataFrame, query: str, item: str, vector: str, run, schema: str) -> DataFrame:
+    rows = corpus.select(F.col(item).cast("long").alias("item_id"), F.col(vector).alias("v"))
+    parts = [rows.mapInArrow(partial(run, ids, vectors), schema) for ids, vectors in _blocks(queries, query, vector)]
+    return reduce(DataFrame.unionByName, parts) if parts else corpus.sparkSession.createDataFrame([], schema)
 
 
-#: Queries that are broadcast at most.
-BROADCAST_QUERIES = 10_000
+_SCORES = "query_id long, item_id long, score double"
+
+
+def _long(q: np.ndarray, i: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], ["query_id", "item_id", "score"])
+
+
+def _all_scores(ids, vectors, batches):
+    for items, scores in _products(batches, vectors):
+        q, i = np.broadcast_to(ids, scores.shape), np.broadcast_to(items[:, None], scores.shape)
+        other = q != i
+        yield _long(q[other], i[other], scores[other])
 
 
 def dense_scores(queries: DataFrame, corpus: DataFrame, query: str, item: str, vector: str) -> DataFrame:
-    """Dot products of unit vectors, a stated query set against all rows; a row isn't its own answer."""
-    q = queries.select(F.col(query).alias("query_id"), F.col(vector).alias("__q"))
-    if q.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        q = F.broadcast(q)
-    both = corpus.select(F.col(item).alias("item_id"), F.col(vector).alias("__v")).join(q, F.col("item_id") != F.col("query_id"))
-    return both.select("query_id", "item_id", F.round(dot(F.col("__q"), F.col("__v")), 9).alias("score"))
+    """``query_id, item_id, score``: dot products of a stated query set with all rows, as products of matrices; a row isn't
+    its own answer."""
+    return _scored(queries, corpus, query, item, vector, _all_scores, _SCORES)
+
+
+def dense_top(queries: DataFrame, corpus: DataFrame, query: str, item: str, vector: str, k: int) -> DataFrame:
+    """The ``k`` best of ``dense_scores`` with their ``rank``; each piece of the corpus hands on its own best alone."""
 
+    def run(ids, vectors, batches):
+        for items, scores in _products(batches, vectors):
+            scores = np.where(items[:, None] == ids[None, :], -np.inf, scores)
+            order = np.lexsort((np.broadcast_to(items[:, None], scores.shape), -scores), axis=0)[:k]
+            q, i, s = np.broadcast_to(ids, order.shape), items[order], np.take_along_axis(scores, order, 0)
+            own = np.isfinite(s)
+            yield _long(q[own], i[own], s[own])
 
-def terms(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, term, tf``."""
-    return rows.select(key, F.explode(word_list(casefold(F.coalesce(F.col(text), F.lit(""))))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    return rank(_scored(queries, corpus, query, item, vector, run, _SCORES), "query_id", "item_id", "score", k)
+
+
+def first_ranks(queries: DataFrame, corpus: DataFrame, gold: DataFrame, query: str, item: str, vector: str) -> DataFrame:
+    """``query_id, first_rank, n_ranked``: the rank of the best item of ``gold(query_id, item_id)``, null if there is none.
+
+    It is one more than the number of items that score better, so nothing is sorted.
+    """
+    answers = gold.groupBy("query_id").agg(F.collect_set("item_id").alias("gold"))
+    wanted = {r.query_id: set(r.gold) for r in answers.toLocalIterator()}
+
+    def best(ids, vectors, batches):
+        own = [np.array(sorted(wanted.get(q, ())), np.int64) for q in ids.tolist()]
+        for items, scores in _products(batches, vectors):
+            for k, q in enumerate(ids.tolist()):
+                hit = np.flatnonzero(np.isin(items, own[k]) & (items != q))
+                if len(hit):
+                    top = hit[np.lexsort((items[hit], -scores[hit, k]))[0]]
+                    yield _long(np.array([q]), items[[top]], scores[[top], k])
+
+    found = _scored(queries, corpus, query, item, vector, best, _SCORES)
+    leads = {r.query_id: (r.score, r.item_id) for r in rank(found, "query_id", "item_id", "score", 1).toLocalIterator()}
+
+    def better(ids, vectors, batches):
+        score = np.array([leads.get(q, (np.inf, 0))[0] for q in ids.tolist()])
+        lead = np.array([leads.get(q, (np.inf, 0))[1] for q in ids.tolist()])
+        n, above = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        for items, scores in _products(batches, vectors):
+            other = items[:, None] != ids[None, :]
+            n += other.sum(0)
+            above += (other & ((scores > score) | ((scores == score) & (items[:, None] < lead)))).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n), pa.array(above), pa.array([q in leads for q in ids.tolist()])], ["query_id", "n", "above", "known"])
+
+    counts = _scored(queries, corpus, query, item, vector, better, "query_id long, n long, above long, known boolean")
+    out = counts.groupBy("query_id").agg(F.sum("n").alias("n_ranked"), F.sum("above").alias("above"), F.bool_or("known").alias("known"))
+    return out.select("query_id", F.when(F.col("known"), F.col("above") + 1).alias("first_rank"), "n_ranked")
+
+
+#: Query terms by which texts are filtered while they are read; with more, by a join.
+FILTER_TERMS = 20_000
 
 
 def bm25_scores(queries: DataFrame, docs: DataFrame, query: str, item: str, text: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """``query, item, score`` of items that share a term with a query; a query is the set of its terms."""
-    tf = terms(docs, item, text)
-    size = tf.groupBy(item).agg(F.sum("tf").alias("size"))
-    count = docs.agg(F.count("*").alias("n"))
-    total = count.crossJoin(size.agg(F.sum("size").alias("words"))).select("n", (F.coalesce("words", F.lit(0)) / F.col("n")).alias("mean"))
-    wanted = terms(queries, query, text).select(query, "term")
-    tf = tf.join(wanted.select("term").distinct(), "term", "left_semi")
+    """``query, item, score`` of items that share a term with a query; a query is the set of its terms.
+
+    Texts are read once: what is kept of each are its number of words and those that a query has.
+    """
+    said = lambda rows: word_list(casefold(F.coalesce(rows[text], F.lit(""))))
+    wanted = materialise(queries.select(query, F.explode(F.array_distinct(said(queries))).alias("term")).distinct(), "terms")
+    known = [r.term for r in wanted.select("term").distinct().limit(FILTER_TERMS + 1).collect()]
+    words = docs.select(F.col(item), said(docs).alias("w"))
+    few = len(known) <= FILTER_TERMS
+    held = F.filter("w", lambda x: x.isin(known)) if few and known else F.col("w") if known else F.array().cast("array<string>")
+    rows = materialise(words.select(item, F.size("w").alias("size"), held.alias("w")), "words")
+    tf = rows.select(item, "size", F.explode("w").alias("term"))
+    tf = tf if few else tf.join(wanted.select("term").distinct(), "term", "left_semi")
+    tf = tf.groupBy(item, "size", "term").agg(F.count("*").alias("tf"))
+    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).select("n", (F.col("words") / F.col("n")).alias("mean"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    rows = wanted.join(df, "term").join(tf, "term").join(size, item).crossJoin(F.broadcast(total))
+    scored = wanted.join(df, "term").join(tf, "term").crossJoin(F.broadcast(total))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.greatest("mean", F.lit(1.0))))
-    return rows.groupBy(query, item).agg(F.round(F.sum(part), 6).alias("score"))
+    return scored.groupBy(query, item).agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def rrf(first: DataFrame, second: DataFrame, query: str, item: str, weight: float = 0.5, k: int = 60) -> DataFrame:
@@ -60,3 +160,20 @@ def hard_negatives(fused: DataFrame, gold: DataFrame, query: str, item: str, dep
     """The first ``n`` of a ranking's top ``depth`` that aren't gold."""
     rest = fused.where(F.col("rank") <= depth).join(gold.select(query, item).distinct(), [query, item], "left_anti")
     return rest.withColumn("place", F.row_number().over(Window.partitionBy(query).orderBy("rank"))).where(F.col("place") <= n)
+
+
+POLICIES = ("e5", "ce", "rrf")
+
+
+def reranked(top: DataFrame, policy: str, query: str, by_cross: Column, k: int = 60) -> DataFrame:
+    """``top`` with a column named by the policy, its rank: as it is, by a cross-encoder's order, or by both ranks fused."""
+    if policy not in POLICIES:
+        raise ValueError(f"unknown policy: {policy}")
+    w = Window.partitionBy(query)
+    if policy == "e5":
+        return top.withColumn("e5", F.col("rank"))
+    cross = F.row_number().over(w.orderBy(by_cross, "rank"))
+    if policy == "ce":
+        return top.withColumn("ce", cross)
+    fused = F.round(1 / (k + F.col("rank")) + 1 / (k + F.col("__ce")), 9)
+    return top.withColumn("__ce", cross).withColumn("rrf", F.row_number().over(w.orderBy(fused.desc(), "rank"))).drop("__ce")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pairloom.plans import ranking, relational, texts  # noqa: F401  they register their queries
+from pairloom.plans import ranking, relational, review, texts  # noqa: F401  they register their queries
 from pairloom.plans.registry import QUERIES, SQL, Query
 
 

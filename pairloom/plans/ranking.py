@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from pairloom.operators import metrics, retrieval
@@ -16,13 +18,23 @@ count(*) FILTER (hit AND rank <= 1) AS h1, count(*) FILTER (hit AND rank <= 3) A
 coalesce(sum(1 / log2(rank + 1)) FILTER (hit AND rank <= 10), 0) AS dcg, any_value(item_label) FILTER (rank = 1) AS predicted FROM (SELECT *, query_label = item_label AS hit FROM r) GROUP BY query_id)"""
 
 
-def _scores(spark: SparkSession, sf: str) -> DataFrame:
+def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, str, str, str]:
     e = table(spark, sf, "embeddings")
-    return retrieval.dense_scores(e.where("vec_id % 50 = 0"), e, "vec_id", "vec_id", "embedding")
+    return e.where("vec_id % 50 = 0"), e, "vec_id", "vec_id", "embedding"
+
+
+def _scores(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.dense_scores(*_vectors(spark, sf))
 
 
-def _ranked(spark: SparkSession, sf: str, k: int | None = None) -> DataFrame:
-    return retrieval.rank(_scores(spark, sf), "query_id", "item_id", "score", k)
+def _ranked(spark: SparkSession, sf: str, k: int) -> DataFrame:
+    return retrieval.dense_top(*_vectors(spark, sf), k)
+
+
+def _per_query(spark: SparkSession, sf: str) -> DataFrame:
+    gold = _gold(spark, sf)
+    queries, corpus, *names = _vectors(spark, sf)
+    return metrics.per_query(_ranked(spark, sf, 10), gold, retrieval.first_ranks(queries, corpus, gold, *names), "query_id", "item_id")
 
 
 def _gold(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,22 +59,22 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
 round(avg(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, CAST(least(10, gold) AS BIGINT) + 1) t(i))), 6) AS ndcg_10,
 round(avg(h1 / gold), 6) AS recall_1, round(avg(h1 / least(1, n)), 6) AS precision_1, round(avg(h3 / gold), 6) AS recall_3, round(avg(h3 / least(3, n)), 6) AS precision_3, round(avg(h5 / gold), 6) AS recall_5, round(avg(h5 / least(5, n)), 6) AS precision_5 FROM p""")
 def ir_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.ir_metrics(_ranked(spark, sf), _gold(spark, sf), "query_id", "item_id")
+    return metrics.ir_metrics(_per_query(spark, sf))
 
 
 @query(f"{_PER} SELECT query_id, round(coalesce(1.0 / first_rank, 0), 6) AS rr FROM p")
 def mrr(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.per_query(_ranked(spark, sf), _gold(spark, sf), "query_id", "item_id").select("query_id", F.round(F.coalesce(1 / F.col("first_rank"), F.lit(0.0)), 6).alias("rr"))
+    return _per_query(spark, sf).select("query_id", F.round(F.coalesce(1 / F.col("first_rank"), F.lit(0.0)), 6).alias("rr"))
 
 
 @query(f"{_PER} SELECT query_id, round(dcg / (SELECT sum(1 / log2(i + 1)) FROM range(1, CAST(least(10, gold) AS BIGINT) + 1) t(i)), 6) AS ndcg FROM p")
 def ndcg(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.per_query(_ranked(spark, sf), _gold(spark, sf), "query_id", "item_id").select("query_id", F.round(F.col("dcg10") / F.col("idcg10"), 6).alias("ndcg"))
+    return _per_query(spark, sf).select("query_id", F.round(F.col("dcg10") / F.col("idcg10"), 6).alias("ndcg"))
 
 
 @query(f"{_PER} SELECT 'k' || k AS corte, round(avg(h / k), 6) AS precision, round(avg(h / gold), 6) AS recall, round(avg(CASE WHEN h > 0 THEN 2 * (h / k) * (h / gold) / (h / k + h / gold) ELSE 0 END), 6) AS f1 FROM (SELECT 1 AS k, h1 AS h, gold FROM p UNION ALL SELECT 3, h3, gold FROM p UNION ALL SELECT 5, h5, gold FROM p) GROUP BY k")
 def topk_prf(spark: SparkSession, sf: str) -> DataFrame:
-    q = metrics.per_query(_ranked(spark, sf), _gold(spark, sf), "query_id", "item_id")
+    q = _per_query(spark, sf)
     cuts = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"hits_{k}").alias("h")) for k in (1, 3, 5))))
     rows = q.select("n_gold", cuts.alias("x")).select("x.k", (F.col("x.h") / F.col("x.k")).alias("p"), (F.col("x.h") / F.col("n_gold")).alias("r"))
     f1 = F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0)
@@ -71,13 +83,16 @@ def topk_prf(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{_PER} SELECT round(avg(a), 6) AS macro FROM (SELECT label, avg(CASE WHEN h3 > 0 THEN 1.0 ELSE 0.0 END) AS a FROM p GROUP BY label)")
 def macro_article_recall(spark: SparkSession, sf: str) -> DataFrame:
-    q = metrics.per_query(_ranked(spark, sf), _gold(spark, sf), "query_id", "item_id").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "label"), "query_id")
+    q = _per_query(spark, sf).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "label"), "query_id")
     return q.groupBy("label").agg(F.avg((F.col("hits_3") > 0).cast("double")).alias("a")).agg(F.round(F.avg("a"), 6).alias("macro"))
 
 
 _COUNTS = """c AS (SELECT l AS label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM (SELECT label AS l, CASE WHEN label = predicted THEN w ELSE 0 END AS tp, 0 AS fp, CASE WHEN label = predicted THEN 0 ELSE w END AS fn FROM x
 UNION ALL SELECT predicted, 0, w, 0 FROM x WHERE label <> predicted) GROUP BY l), f AS (SELECT *, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM c)"""
-_F1 = "SELECT round(avg(f1), 6) AS f1_macro, round(sum(f1 * (tp + fn)) / sum(tp + fn), 6) AS f1_weighted, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS f1_micro FROM f"
+_F1 = """SELECT round(avg(f1), 6) AS f1_macro, round(sum(f1 * (tp + fn)) / sum(tp + fn), 6) AS f1_weighted, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS f1_micro,
+round(avg(p), 6) AS precision_macro, round(sum(p * (tp + fn)) / sum(tp + fn), 6) AS precision_weighted, round(sum(tp) / (sum(tp) + sum(fp)), 6) AS precision_micro,
+round(avg(r), 6) AS recall_macro, round(sum(r * (tp + fn)) / sum(tp + fn), 6) AS recall_weighted, round(sum(tp) / (sum(tp) + sum(fn)), 6) AS recall_micro
+FROM (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM f)"""
 
 
 @query(f"{_PER}, x AS (SELECT label, predicted, 1.0::DOUBLE AS w FROM p), {_COUNTS} {_F1}")
@@ -85,10 +100,42 @@ def f1_top1(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.f1_summary(metrics.label_counts(_top1(spark, sf), "label", "predicted"))
 
 
-@query(f"{_PER}, x AS (SELECT label, predicted, 1.0::DOUBLE / count(*) OVER (PARTITION BY query_id // 200) AS w FROM p), {_COUNTS} {_F1}")
+@query(f"{_PER}, x AS (SELECT label, predicted, 1.0::DOUBLE / count(*) OVER (PARTITION BY query_id // 200) AS w FROM p), {_COUNTS} SELECT *, (SELECT round(sum(CASE WHEN label = predicted THEN w ELSE 0 END) / sum(w), 6) FROM x) AS accuracy FROM ({_F1})")
 def group_weighted_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    weight = 1 / F.count("*").over(Window.partitionBy(F.floor(F.col("query_id") / 200)))
-    return metrics.f1_summary(metrics.label_counts(_top1(spark, sf).withColumn("w", weight), "label", "predicted", "w"))
+    rows = _top1(spark, sf).withColumn("grupo", F.floor(F.col("query_id") / 200))
+    rows = metrics.group_weights(rows, "query_id", "grupo")
+    right = F.sum(F.when(F.col("label") == F.col("predicted"), F.col("weight")).otherwise(0.0)) / F.sum("weight")
+    return metrics.f1_summary(metrics.label_counts(rows, "label", "predicted", "weight")).crossJoin(rows.agg(F.round(right, 6).alias("accuracy")))
+
+
+@query(f"""WITH q AS (SELECT l_orderkey, list_distinct(list(CAST(l_suppkey % 7 AS VARCHAR))) AS t, CAST(max(l_partkey) % 7 AS VARCHAR) AS y FROM lineitem GROUP BY l_orderkey),
+l AS (SELECT unnest(t) AS label, CASE WHEN unnest(t) = y THEN 1.0 ELSE 0.0 END::DOUBLE AS tp, 0.0::DOUBLE AS fp, CASE WHEN unnest(t) = y THEN 0.0 ELSE 1.0 END::DOUBLE AS fn FROM q UNION ALL SELECT y, 0, 1, 0 FROM q WHERE NOT list_contains(t, y)),
+f AS (SELECT label, tp, fp, fn, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM (SELECT label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM l GROUP BY label)) {_F1}""")
+def f1_multilabel(spark: SparkSession, sf: str) -> DataFrame:
+    """Several true labels a row, one predicted."""
+    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set((F.col("l_suppkey") % 7).cast("string")).alias("t"), (F.max("l_partkey") % 7).cast("string").alias("y"))
+    return metrics.f1_summary(metrics.set_counts(rows, "t", "y"))
+
+
+@query(f"{_PER} SELECT count(*) AS queries, round(avg(CASE WHEN h1 > 0 THEN 1.0 ELSE 0.0 END), 6) AS accuracy_1, round(avg(coalesce(1.0 / first_rank, 0)), 6) AS mrr FROM p WHERE query_id % 100 = 0")
+def sensitivity_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of some queries alone."""
+    some = table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"))
+    return metrics.ir_metrics(_per_query(spark, sf).join(some, "query_id", "left_semi")).select("queries", "accuracy_1", "mrr")
+
+
+@query(f"{_DENSE} SELECT round(avg(CASE WHEN query_label = item_label THEN 1.0 ELSE 0.0 END), 6) AS accuracy_inversa FROM r WHERE rank = 10")
+def inverse_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """How often the last of the best ten is right."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label")
+    last = _ranked(spark, sf, 10).groupBy("query_id").agg(F.max_by("item_id", "rank").alias("item_id"))
+    both = last.join(e.select(F.col("vec_id").alias("item_id"), F.col("label").alias("y")), "item_id").join(e.withColumnRenamed("vec_id", "query_id"), "query_id")
+    return both.agg(F.round(F.avg((F.col("y") == F.col("label")).cast("double")), 6).alias("accuracy_inversa"))
+
+
+@query(f"{_DENSE} SELECT query_id, round(min(score), 6) AS menor, round(max(score), 6) AS mayor, max(score) - min(score) < 1e-8 AS constante FROM r WHERE rank <= 10 GROUP BY query_id")
+def score_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    return _ranked(spark, sf, 10).groupBy("query_id").agg(F.round(F.min("score"), 6).alias("menor"), F.round(F.max("score"), 6).alias("mayor"), (F.max("score") - F.min("score") < 1e-8).alias("constante"))
 
 
 @query(f"{_PER} SELECT label, predicted, count(*) AS n FROM p WHERE label <> predicted GROUP BY label, predicted")
@@ -103,10 +150,15 @@ def per_label_report(spark: SparkSession, sf: str) -> DataFrame:
     return t.orderBy(F.desc("support"), "label").limit(25).select("label", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")), "support")
 
 
-@query(f"{_PER} SELECT CASE WHEN label >= 5 THEN 'con_positivos_no_vistos' ELSE 'solo_vistos' END AS cohorte, count(*) AS n, round(avg(CASE WHEN h1 > 0 THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM p GROUP BY 1")
+@query(f"""{_PER}, n AS (SELECT query_id, bool_or(item_id % 3 = 0) AS nuevo FROM r WHERE query_label = item_label AND item_id < 40 GROUP BY query_id)
+SELECT CASE WHEN coalesce(nuevo, false) THEN 'con_positivos_no_vistos' ELSE 'solo_vistos' END AS cohorte, count(*) AS n, round(avg(CASE WHEN h1 > 0 THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM p LEFT JOIN n USING (query_id) GROUP BY 1""")
 def cohort_accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    t = _top1(spark, sf).withColumn("cohorte", F.when(F.col("label") >= 5, "con_positivos_no_vistos").otherwise("solo_vistos"))
-    return t.groupBy("cohorte").agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("predicted")).cast("double")), 6).alias("accuracy"))
+    """By whether a query has positives that weren't seen; two thirds of the first items were."""
+    seen = F.expr("item_id % 3 <> 0")
+    gold = _gold(spark, sf).where("item_id < 40").groupBy("query_id").agg(F.collect_set("item_id").alias("gold"), F.collect_set(F.when(seen, F.col("item_id"))).alias("seen"))
+    t = _top1(spark, sf).join(gold, "query_id", "left")
+    unseen = F.size(F.array_except(F.coalesce("gold", F.array().cast("array<long>")), F.coalesce("seen", F.array().cast("array<long>")))) > 0
+    return t.groupBy(F.when(unseen, "con_positivos_no_vistos").otherwise("solo_vistos").alias("cohorte")).agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("predicted")).cast("double")), 6).alias("accuracy"))
 
 
 @query(f"""{_DENSE}, u AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS k FROM r WHERE item_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label))
@@ -114,7 +166,9 @@ SELECT query_id, CAST(max(CASE WHEN k = 1 AND query_label = item_label THEN 1 EL
 def topk_accuracy_universe(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "embeddings").select("vec_id", "label")
     universe = e.groupBy("label").agg(F.min("vec_id").alias("item_id")).withColumnRenamed("label", "item_label")
-    r = retrieval.rank(_scores(spark, sf).join(universe, "item_id"), "query_id", "item_id", "score").join(e.withColumnRenamed("vec_id", "query_id"), "query_id")
+    queries, corpus, *names = _vectors(spark, sf)
+    some = corpus.join(universe.select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi")
+    r = retrieval.dense_top(queries, some, *names, 3).join(universe, "item_id").join(e.withColumnRenamed("vec_id", "query_id"), "query_id")
     hit = lambda k: F.max(((F.col("rank") <= k) & (F.col("label") == F.col("item_label"))).cast("int"))
     return r.groupBy("query_id").agg(hit(1).alias("top1"), hit(3).alias("top3"))
 
@@ -159,12 +213,11 @@ q AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(1 /
 
 
 def _policies(spark: SparkSession, sf: str) -> DataFrame:
-    """``query_id, item_id, e5, ce, rrf``: ranks by three policies; a hash stands in for the cross-encoder."""
-    top = _ranked(spark, sf, 10).withColumnRenamed("rank", "e5")
-    w = Window.partitionBy("query_id")
-    top = top.withColumn("ce", F.row_number().over(w.orderBy(F.sha2(F.concat_ws("|", "query_id", "item_id"), 256))))
-    both = F.round(1 / (60 + F.col("e5")) + 1 / (60 + F.col("ce")), 9)
-    return top.withColumn("rrf", F.row_number().over(w.orderBy(both.desc(), "e5"))).select("query_id", "item_id", "e5", "ce", "rrf")
+    """``query_id, item_id, e5, ce, rrf``: ranks by the three policies; a hash stands in for the cross-encoder's scores."""
+    top = _ranked(spark, sf, 10).withColumn("ce_score", F.sha2(F.concat_ws("|", "query_id", "item_id"), 256))
+    for policy in retrieval.POLICIES:
+        top = retrieval.reranked(top, policy, "query_id", F.asc("ce_score"))
+    return top.select("query_id", "item_id", *retrieval.POLICIES)
 
 
 @query(f"{_POLICY} SELECT query_id, item_id, e5, ce, rrf FROM q")
@@ -184,12 +237,20 @@ def top1_changes(spark: SparkSession, sf: str) -> DataFrame:
     return p.where("e5 = 1").select("query_id", F.col("item_id").alias("antes")).join(p.where("rrf = 1").select("query_id", F.col("item_id").alias("despues")), "query_id").where("antes <> despues")
 
 
-@query(f"{_PER}, m AS (SELECT avg(CASE WHEN h1 > 0 THEN 1.0 ELSE 0 END) AS a, avg(CASE WHEN h3 > 0 THEN 1.0 ELSE 0 END) AS b FROM p) SELECT CASE WHEN b > a + 1e-9 THEN 'candidata' ELSE 'referencia' END AS eleccion FROM m")
+_FIGURES = "SELECT l_returnflag, round(avg(l_discount), 9) AS f1, round(avg(l_tax), 9) AS a, round(avg(l_quantity), 9) AS r, round(avg(l_extendedprice), 9) AS g FROM lineitem GROUP BY l_returnflag"
+_CHOICE = """SELECT '{0}{1}' AS par, CASE WHEN m = '' THEN 'candidato' ELSE 'referencia' END AS eleccion, m AS motivos FROM (SELECT concat_ws(',', CASE WHEN c.f1 <= r.f1 + 1e-9 THEN 'f1_macro' END,
+CASE WHEN c.a + 1e-9 < r.a THEN 'accuracy_1' END, CASE WHEN c.r + 1e-9 < r.r THEN 'recall_3' END, CASE WHEN c.g + 1e-9 < r.g THEN 'f1_macro_group' END) AS m FROM f r, f c WHERE r.l_returnflag = '{0}' AND c.l_returnflag = '{1}')"""
+_PAIRS = ("AR", "RA", "AN", "NA", "NR", "RN")
+
+
+@query(f"WITH f AS ({_FIGURES}) " + " UNION ALL ".join(_CHOICE.format(*p) for p in _PAIRS))
 def model_choice(spark: SparkSession, sf: str) -> DataFrame:
-    q = metrics.per_query(_ranked(spark, sf), _gold(spark, sf), "query_id", "item_id")
-    m = q.agg(F.avg((F.col("hits_1") > 0).cast("double")).alias("a"), F.avg((F.col("hits_3") > 0).cast("double")).alias("b")).first()
-    chosen = metrics.model_choice({"f1_macro": m.a}, {"f1_macro": m.b})
-    return spark.createDataFrame([(chosen,)], "eleccion string")
+    """Each return flag's means against each other's, as figures of two models."""
+    mean = lambda c, n: F.round(F.avg(c), 9).alias(n)
+    figures = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(mean("l_discount", "f1_macro"), mean("l_tax", "accuracy_1"), mean("l_quantity", "recall_3"), mean("l_extendedprice", "f1_macro_group"))
+    figures = figures.withColumns({"queries": F.lit(16), "candidates": F.lit(444)})
+    choice = lambda p: metrics.model_choice(figures.where(F.col("l_returnflag").isin(*p)).withColumn("modelo", F.when(F.col("l_returnflag") == p[0], "referencia").otherwise("candidato"))).select(F.lit(p).alias("par"), "eleccion", "motivos")
+    return reduce(DataFrame.unionByName, map(choice, _PAIRS))
 
 
 _TOKENS = "list_filter(regexp_split_to_array(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[^\\p{L}\\p{M}\\p{N}_]+'), lambda x: x <> '')"
@@ -209,12 +270,23 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _bm25(spark, sf).where("rank <= 10").select("item_id", "doc_id", "score", "rank")
 
 
-@query(f"""{_BM25}, h AS (SELECT item_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY sha256(concat(item_id, '|', doc_id))) AS INTEGER) AS rank FROM r WHERE rank <= 100),
-f AS (SELECT item_id, doc_id, round(sum(s), 9) AS score FROM (SELECT item_id, doc_id, 0.5 / (60 + rank) AS s FROM r WHERE rank <= 100 UNION ALL SELECT item_id, doc_id, 0.5 / (60 + rank) FROM h) GROUP BY 1, 2),
-o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM f) SELECT item_id, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY k) AS hybrid_top10 FROM o WHERE k <= 10 GROUP BY item_id""")
+_HYBRID = f"""{_DENSE}, dd AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)), tf AS (SELECT doc_id, term, count(*) AS tf FROM dd GROUP BY 1, 2), size AS (SELECT doc_id, count(*) AS size FROM dd GROUP BY 1),
+qq AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS}) AS term FROM (SELECT item_id * 50 AS item_id, text FROM benchmark)), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+t AS (SELECT (SELECT count(*) FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)) AS n, (SELECT count(*) FROM dd) AS words),
+bs AS (SELECT query_id, doc_id AS item_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * size / greatest(words / n, 1)))), 6) AS score FROM qq JOIN df USING (term) JOIN tf USING (term) JOIN size USING (doc_id), t GROUP BY 1, 2),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM bs WHERE query_id IN (SELECT query_id FROM r)),
+f AS (SELECT query_id, item_id, round(sum(s), 9) AS score FROM (SELECT query_id, item_id, 0.5 / (60 + rank) AS s FROM r WHERE rank <= 100 UNION ALL SELECT query_id, item_id, 0.5 / (60 + rank) FROM b WHERE rank <= 100) GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS k FROM f)"""
+
+
+@query(f"{_HYBRID} SELECT query_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY k) AS hybrid_top10 FROM o WHERE k <= 10 GROUP BY query_id")
 def hybrid_topk(spark: SparkSession, sf: str) -> DataFrame:
-    lexical = materialise(_bm25(spark, sf).where("rank <= 100"), "lexical")
-    other = lexical.select("item_id", "doc_id", F.row_number().over(Window.partitionBy("item_id").orderBy(F.sha2(F.concat_ws("|", "item_id", "doc_id"), 256))).alias("rank"))
-    fused = retrieval.rank(retrieval.rrf(lexical, other, "item_id", "doc_id"), "item_id", "doc_id", "score", 10)
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"].cast("string"))
-    return fused.groupBy("item_id").agg(F.array_join(ids, ",").alias("hybrid_top10"))
+    """Dense and lexical ranking fused: benchmark item i is the text of query 50 i, documents those of the vectors."""
+    queries = table(spark, sf, "benchmark").select((F.col("item_id") * 50).alias("query_id"), "text")
+    own = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    docs = table(spark, sf, "documents").join(own, "doc_id", "left_semi").select(F.col("doc_id").alias("item_id"), "text")
+    dense = materialise(_ranked(spark, sf, 100), "dense")
+    lexical = retrieval.rank(retrieval.bm25_scores(queries, docs, "query_id", "item_id", "text"), "query_id", "item_id", "score", 100).join(dense.select("query_id").distinct(), "query_id", "left_semi")
+    fused = retrieval.rank(retrieval.rrf(dense, lexical, "query_id", "item_id"), "query_id", "item_id", "score", 10)
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda x: x["item_id"].cast("string"))
+    return fused.groupBy("query_id").agg(F.array_join(ids, ",").alias("hybrid_top10"))

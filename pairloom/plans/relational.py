@@ -187,6 +187,16 @@ def nearest_citation_v6(spark: SparkSession, sf: str) -> DataFrame:
     return _nearest(spark, sf, joins.interval_distance)
 
 
+@query(_nearest_sql("greatest(b - t, s - e, 0)").replace("SELECT block, cita, distance FROM (SELECT block, cita,", "SELECT n.block, c.cita FROM (SELECT user_id, s, block, cita,").replace("WHERE r = 1", "n JOIN c ON c.user_id = n.user_id AND c.s = n.s WHERE n.r = 1"))
+def anchored_citations(spark: SparkSession, sf: str) -> DataFrame:
+    """All citations that start where a block's nearest one does."""
+    s = F.unix_timestamp("ts")
+    blocks = _events(spark, sf, "click", F.col("event_id").alias("block"), s.alias("b"), (s + 600).alias("e"))
+    cites = _events(spark, sf, "error", F.col("event_id").alias("cita"), s.alias("s"), (s + 60).alias("t"))
+    near = joins.nearest(blocks, cites, "user_id", joins.interval_distance(F.col("b"), F.col("e"), F.col("s"), F.col("t")), ["s", "cita"], ["block"])
+    return joins.with_anchor(near, cites, "user_id", "s", ["block"]).select("block", "cita")
+
+
 @query(f"""WITH e AS (SELECT *, {_SECS} AS s FROM events) SELECT r, string_agg(CAST(f AS VARCHAR), ',' ORDER BY n) AS hechos FROM (
 SELECT a.event_id AS r, b.event_id AS f, row_number() OVER (PARTITION BY a.event_id ORDER BY least(abs(b.s - a.s), abs(b.s + 60 - a.s)), b.s, b.event_id) AS n
 FROM e a JOIN e b ON a.user_id = b.user_id WHERE a.event_type = 'purchase' AND b.event_type = 'view') WHERE n <= 3 GROUP BY r""")
@@ -216,10 +226,12 @@ def unresolved_citations(spark: SparkSession, sf: str) -> DataFrame:
     return joins.uncovered(points, spans, "user_id", "s", "b", "e").select("event_id")
 
 
-@query("SELECT a.p_partkey AS articulo, b.p_partkey AS mismo_texto FROM part a JOIN part b ON sha256(lower(concat(a.p_brand, ' ', a.p_type, ' ', CAST(a.p_size AS VARCHAR)))) = sha256(lower(concat(b.p_brand, ' ', b.p_type, ' ', CAST(b.p_size AS VARCHAR))))")
+@query("""WITH p AS (SELECT p_partkey, lower(concat(p_brand, ' ', p_type, ' ', CAST(p_size AS VARCHAR))) AS t FROM part) SELECT p_partkey AS articulo, min(p_partkey) OVER (PARTITION BY t) AS clase, count(*) OVER (PARTITION BY t) AS positivos FROM p""")
 def same_text_positives(spark: SparkSession, sf: str) -> DataFrame:
+    """The articles of one text are all positives of each: a class for each text, named by its least article."""
     p = table(spark, sf, "part").select("p_partkey", F.sha2(F.lower(F.concat_ws(" ", "p_brand", "p_type", "p_size")), 256).alias("fp"))
-    return p.select(F.col("p_partkey").alias("articulo"), "fp").join(p.select(F.col("p_partkey").alias("mismo_texto"), "fp"), "fp").select("articulo", "mismo_texto")
+    classes = p.groupBy("fp").agg(F.min("p_partkey").alias("clase"), F.count("*").alias("positivos"))
+    return p.join(classes, "fp").select(F.col("p_partkey").alias("articulo"), "clase", "positivos")
 
 
 @query("SELECT 'event_type' AS columna, event_type AS valor, count(*) AS n FROM events GROUP BY event_type UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY o_orderpriority")
@@ -269,11 +281,6 @@ def freq_baseline(spark: SparkSession, sf: str) -> DataFrame:
     return by.agg(F.sum("n").alias("total")).crossJoin(by.orderBy(F.desc("n"), "event_type").limit(3).agg(F.sum("n").alias("top"))).select(F.round(F.col("top") / F.col("total"), 6).alias("cuota_top3"))
 
 
-@query("SELECT l_returnflag, l_linestatus, round(min(l_extendedprice), 4) AS menor, round(max(l_extendedprice), 4) AS mayor, count(*) FILTER (l_tax = 0) AS constantes FROM lineitem GROUP BY 1, 2")
-def score_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(F.min("l_extendedprice"), 4).alias("menor"), F.round(F.max("l_extendedprice"), 4).alias("mayor"), F.count_if(F.abs("l_tax") < 1e-8).alias("constantes"))
-
-
 @query("SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN 'hechos' WHEN event_type = 'error' THEN 'juridica' END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seccion FROM events")
 def section_carry(spark: SparkSession, sf: str) -> DataFrame:
     heading = F.when(F.col("event_type") == "signup", "hechos").when(F.col("event_type") == "error", "juridica")
@@ -341,11 +348,16 @@ def dedupe_approved(spark: SparkSession, sf: str) -> DataFrame:
     return curate.dedupe_approved(table(spark, sf, "orders"), keys, F.col("o_orderstatus") == "F", "o_orderkey").select(*keys, "o_orderkey", "position")
 
 
-@query("SELECT (SELECT count(*) FROM (SELECT * FROM nation EXCEPT ALL SELECT * FROM nation)) = 0 AS congelado")
+@query("""SELECT 'congelado' AS paso, 0 AS cambios UNION ALL SELECT 'alterado', 2 * count(*) FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 100 = 0""")
 def frozen_check(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "nation")
-    gone = n.exceptAll(n.select("*")).unionByName(n.select("*").exceptAll(n))
-    return gone.agg((F.count("*") == 0).alias("congelado"))
+    """Rows of the evaluation that a step added or took away: curation of train leaves them, another step doesn't."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    before = o.where("o_orderstatus = 'F'")
+    train = curate.dedupe_first(o.where("o_orderstatus <> 'F'"), ["o_custkey"], ["o_orderkey"])[0]
+    curated = train.unionByName(before.select("*")).where("o_orderstatus = 'F'")
+    altered = before.withColumn("o_custkey", F.when(F.col("o_orderkey") % 100 == 0, -1).otherwise(F.col("o_custkey")))
+    said = lambda name, after: curate.changed_rows(before, after).agg(F.count("*").alias("cambios")).select(F.lit(name).alias("paso"), "cambios")
+    return said("congelado", curated).unionByName(said("alterado", altered))
 
 
 @query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE text IS NOT NULL AND length(text) > 0 AND lang = 'en')")
@@ -354,24 +366,18 @@ def incremental_missing(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "labels").select("doc_id").join(landed, "doc_id", "left_anti")
 
 
-def _edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders linked by what they share, as the keys of a bipartite graph."""
-    line = table(spark, sf, "lineitem")
-    return line.select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat_ws("/", F.lit("k"), "l_partkey", "l_suppkey", "l_returnflag").alias("b"))
-
-
-_CC = """WITH RECURSIVE e AS (SELECT DISTINCT concat('o', l_orderkey) AS a, concat_ws('/', 'k', l_partkey, l_suppkey, l_returnflag) AS b FROM lineitem),
+_CC = """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, concat_ws('/', l_partkey, l_suppkey, l_returnflag) AS b FROM lineitem),
 k AS (SELECT b FROM e GROUP BY b HAVING count(*) > 1), f AS (SELECT x.a, min(y.a) AS lo FROM e x JOIN e y ON x.b = y.b WHERE x.b IN (SELECT b FROM k) GROUP BY x.a, x.b),
 u AS (SELECT DISTINCT a, lo AS b FROM f UNION SELECT DISTINCT lo, a FROM f), c(node, lab) AS (SELECT a, a FROM (SELECT DISTINCT a FROM e) UNION SELECT u.b, c.lab FROM c JOIN u ON u.a = c.node),
 m AS (SELECT node, min(lab) AS component FROM c GROUP BY node)"""
 
 
 def _components(spark: SparkSession, sf: str) -> DataFrame:
-    found = graph.connected_components(_edges(spark, sf))
-    # Nodes are named by orders; keys begin with another letter.
-    orders = found.where("node LIKE 'o%'")
-    least = orders.groupBy("component").agg(F.min("node").alias("least"))
-    return orders.join(least, "component").select("node", F.col("least").alias("component"))
+    """Orders linked by what they share; those that share nothing are alone."""
+    line = table(spark, sf, "lineitem").select("l_orderkey", F.concat_ws("/", "l_partkey", "l_suppkey", "l_returnflag").alias("k"))
+    found = graph.connected_components(graph.shared_keys(line, "l_orderkey", [F.col("k")]))
+    nodes = line.select(F.col("l_orderkey").alias("node")).distinct()
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 @query(f"{_CC} SELECT node, component FROM m")
@@ -379,9 +385,9 @@ def connected_components(spark: SparkSession, sf: str) -> DataFrame:
     return _components(spark, sf)
 
 
-@query(f"""{_CC}, g AS (SELECT component, sha256(lower(concat('["', string_agg(substr(node, 2), '", "' ORDER BY substr(node, 2)), '"]'))) AS grupo_id FROM m GROUP BY component) SELECT component, grupo_id FROM g""")
+@query(f"""{_CC}, g AS (SELECT component, sha256(lower(concat('["', string_agg(CAST(node AS VARCHAR), '", "' ORDER BY CAST(node AS VARCHAR)), '"]'))) AS grupo_id FROM m GROUP BY component) SELECT component, grupo_id FROM g""")
 def group_id(spark: SparkSession, sf: str) -> DataFrame:
-    by = _components(spark, sf).groupBy("component").agg(F.collect_set(F.substring("node", 2, 20)).alias("s"))
+    by = _components(spark, sf).groupBy("component").agg(F.collect_set(F.col("node").cast("string")).alias("s"))
     return by.select("component", graph.group_id("s").alias("grupo_id"))
 
 
@@ -392,6 +398,6 @@ def hash_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT 'o_custkey' AS key, CAST(o_custkey AS VARCHAR) AS value, count(DISTINCT o_orderstatus) AS splits FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderstatus) > 1
-UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(DISTINCT o_orderstatus) FROM orders GROUP BY o_orderpriority HAVING count(DISTINCT o_orderstatus) > 1""")
+UNION ALL SELECT 'o_orderpriority', lower(o_orderpriority), count(DISTINCT o_orderstatus) FROM orders GROUP BY lower(o_orderpriority) HAVING count(DISTINCT o_orderstatus) > 1""")
 def leak_check(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.leaks(table(spark, sf, "orders"), ["o_custkey", "o_orderpriority"], "o_orderstatus")
+    return graph.leaks(table(spark, sf, "orders"), ["o_custkey", "o_orderpriority"], "o_orderstatus", folded=("o_orderpriority",))

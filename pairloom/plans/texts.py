@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pairloom.functions import spans, text as fx
 from pairloom.operators import curate, graph, joins
 from pairloom.plans.registry import query
-from pairloom.storage import table
+from pairloom.storage import materialise, table
 
 _NORM = "trim(regexp_replace(replace(coalesce(text, ''), chr(160), ' '), '\\s+', ' ', 'g'))"
 _FP = f"sha256(replace(lower({_NORM}), 'ß', 'ss'))"
@@ -60,8 +60,15 @@ def shingles(spark: SparkSession, sf: str) -> DataFrame:
 x AS (SELECT doc_id, len(s) AS nd, unnest(s) AS t FROM d), y AS (SELECT item_id, len(s) AS nb, unnest(s) AS t FROM b)
 SELECT doc_id, item_id, count(*) AS common FROM x JOIN y USING (t) GROUP BY doc_id, item_id, nd, nb HAVING count(*) >= 0.75 * least(nd, nb)""")
 def near_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    docs, held = (table(spark, sf, t).select(i, fx.shingles(F.col("text")).alias("s")) for t, i in (("documents", "doc_id"), ("benchmark", "item_id")))
-    return joins.containment(docs, held, "doc_id", "item_id", "s")
+    """Shingles meet as hashes; the pairs that reach the threshold are confirmed by the words."""
+    of = lambda t, i: table(spark, sf, t).select(i, "text")
+    docs, held = of("documents", "doc_id"), of("benchmark", "item_id")
+    hashed = lambda rows, i: rows.select(i, fx.shingle_hashes(F.col("text")).alias("s"))
+    near = materialise(joins.containment(hashed(docs, "doc_id"), hashed(held, "item_id"), "doc_id", "item_id", "s"), "near")
+    words = lambda rows, i, name: rows.join(near.select(i).distinct(), i, "left_semi").select(i, fx.shingles(F.col("text")).alias(name))
+    both = near.select("doc_id", "item_id").join(words(docs, "doc_id", "a"), "doc_id").join(words(held, "item_id", "b"), "item_id")
+    both = both.withColumn("common", F.size(F.array_intersect("a", "b")).cast("long"))
+    return both.where(F.col("common") >= 0.75 * F.least(F.size("a"), F.size("b"))).select("doc_id", "item_id", "common")
 
 
 _CLEAN = r"""regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '<script\b[^>]*>.*?</script>', ' ', 'gis'), '<style\b[^>]*>.*?</style>', ' ', 'gis'), '</?(?:p|div|br|li|h[1-6])\b[^>]*>', chr(10), 'gi')"""
@@ -89,8 +96,8 @@ def error_side_output(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def file_hashes(spark: SparkSession, sf: str) -> DataFrame:
-    """The reading is by column alone, so files of any size pass; a table is a folder or a file."""
-    files = spark.read.format("binaryFile").load([f"{sf}/{t}.parquet" for t in ("region", "nation")])
+    """Every file of the folder, of 2 GB at most: a file is one value."""
+    files = spark.read.format("binaryFile").options(pathGlobFilter="*.parquet", recursiveFileLookup=True).load(sf)
     return files.select(F.regexp_extract("path", r"([^/]+)\.parquet", 1).alias("tabla"), "length", F.sha2("content", 256).alias("sha256"))
 
 

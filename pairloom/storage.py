@@ -2,34 +2,64 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from urllib.parse import urlparse
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+#: Folders that this driver made; they go when it ends.
+_made: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where the session names none (tests)."""
+    """The folder named by ``spark.checkpoint.dir``. Where none is named, one of our own in local mode (tests); an error on
+    a cluster, whose executors would each write to their own disk."""
     path = spark.conf.get(KEY, None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"{KEY} must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="pairloom-")
+        _made.add(path)
         spark.conf.set(KEY, path)
     return path.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/pairloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/pairloom/{name}-{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
 
 
-def materialise(df: DataFrame, name: str = "step") -> DataFrame:
+def materialise(df: DataFrame, name: str = "step", path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, and outlives any executor."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
+    path = path or fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    _made.discard(path)
+    context = SparkContext._active_spark_context
+    if context is not None and context._jsc is not None:
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+    elif urlparse(path).scheme in ("", "file"):
+        shutil.rmtree(urlparse(path).path, ignore_errors=True)
+
+
+@atexit.register
+def _discard_all() -> None:
+    for path in sorted(_made):
+        discard(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
