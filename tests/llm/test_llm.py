@@ -38,22 +38,18 @@ def lower(t):
     return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
 
 
-def test_near_duplicates_match_brute_force(spark):
-    base = prose(120, 1).split()
-    rows = list(EDGE)
-    for i in range(60):
-        w = list(base)
-        for _ in range(i % 9):
-            w[rng.randrange(len(w))] = rng.choice(VOCAB)
-        rows.append((i, " ".join(w)))
-    rows += [(200 + i, prose(40, 50 + i)) for i in range(20)]
-    got = {r.doc_id: r for r in minhash.near_duplicates(frame(spark, rows, True), k=4).collect()}
+def near_classes(rows, k):
+    """Shingles of each id and the smallest id that links reach, by comparing all pairs. Of an id's texts the one with the
+    fewest shingles counts."""
 
     def shingles(t):
         w = WORD.findall(lower(t))
-        return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} or ({tuple(w)} if w else set())
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
 
-    sets = {i: shingles(t) for i, t in rows}
+    sets = {}
+    for i, t in rows:
+        own = shingles(t)
+        sets[i] = min(sets.get(i, own), own, key=len)
     root = {i: i for i in sets}
 
     def find(i):
@@ -66,7 +62,37 @@ def test_near_duplicates_match_brute_force(spark):
             if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
+    return {i: (len(sets[i]), find(i), find(i) == i) for i in sets}
+
+
+def test_near_duplicates_match_brute_force(spark):
+    base = prose(120, 1).split()
+    rows = list(EDGE)
+    for i in range(60):
+        w = list(base)
+        for _ in range(i % 9):
+            w[rng.randrange(len(w))] = rng.choice(VOCAB)
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, prose(40, 50 + i)) for i in range(20)]
+    long = prose(20000, 77)
+    rows += [(300, long), (301, long + " end"), (302, "two texts of one id"), (302, "one"), (303, "two texts of one id")]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(frame(spark, rows, True), k=4).collect()}
+    assert got == near_classes(rows, 4) and got[301][1] == 300 and got[303][1] == 303
+
+
+def test_copies_near_the_threshold_match_brute_force(spark):
+    """A group of copies of which some pairs reach the threshold, others don't: many components share buckets."""
+    r = random.Random(31)
+    base = fresh(r, 200)
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.choice([2, 4, 5, 6, 8])):
+            w[r.randrange(len(w))] = fresh(r, 1)[0]
+        rows.append((i, " ".join(w)))
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in minhash.near_duplicates(frame(spark, rows), k=4).collect()}
+    want = near_classes(rows, 4)
+    assert got == want and 10 < len({c for _, c, _ in want.values()}) < 140
 
 
 def fresh(r, n):
@@ -422,24 +448,120 @@ def test_toxicity(spark):
     assert toxicity.score(frame(spark, rows), none).where("severity > 0").count() == 0
 
 
+def test_severity_matches_brute_force(spark):
+    rows = [*EDGE, *((i, prose(30, i) + " zzvile" * (i % 3)) for i in range(20)), (50, prose(20000, 3))]
+    key = lambda w: textvec.Words(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]), breaks=textvec.NON_LETTERS).hash[0]
+    chosen = {key("zzvile"): 2.5, key(VOCAB[0]): 0.3, key(VOCAB[1]): 0.7}
+    words = np.array(sorted(chosen), np.uint64)
+    model = toxicity.Ordinal(words, np.array([chosen[w] for w in words.tolist()]), np.array([1.0, 2.0, 4.0]))
+    got = sorted(map(tuple, toxicity.score(frame(spark, rows, True), model).select("doc_id", "severity", "grade", "toxic").collect()), key=str)
+    want = []
+    for i, t in rows:
+        count = collections.Counter(re.findall(r"[^\W\d_]+", (t or "").lower()))
+        z = sum(chosen[key(w)] * (1 + np.log(n)) for w, n in count.items() if key(w) in chosen)
+        p = [1 / (1 + np.exp(x - z)) for x in (1.0, 2.0, 4.0)]
+        want.append((i, sum(p), sum(x >= 0.5 for x in p), p[0] >= 0.5))
+    for x, y in zip(got, sorted(want, key=str), strict=True):
+        assert x[0] == y[0] and abs(x[1] - y[1]) < 1e-9 and x[2:] == y[2:]
+    assert toxicity.score(frame(spark, []), model).count() == 0
+
+
+def test_ordinal_fit_is_a_minimum():
+    r = np.random.default_rng(5)
+    n = 300
+    x = r.poisson(1.0, (n, 3))
+    grades = np.clip((x[:, 0] + r.normal(0, 1, n)).astype(int), 0, 3)
+    row, col = np.nonzero(x)
+    sample = toxicity.Sample(grades, np.arange(3, dtype=np.uint64), row, col, x[row, col])
+    model = toxicity.fit(sample, grades, penalty=0.0)
+    f = np.zeros_like(x, float)
+    f[row, col] = 1 + np.log(x[row, col])
+
+    def loss(w, theta):
+        cdf = np.column_stack([np.zeros(n), 1 / (1 + np.exp(-(theta[None, :] - (f @ w)[:, None]))), np.ones(n)])
+        return -np.log(np.maximum(cdf[np.arange(n), grades + 1] - cdf[np.arange(n), grades], 1e-12)).mean()
+
+    best = loss(model.weights, model.thresholds)
+    for _ in range(300):
+        w = np.maximum(model.weights + r.normal(0, 0.05, 3), 0)
+        theta = np.sort(model.thresholds + r.normal(0, 0.05, len(model.thresholds)))
+        assert loss(w, theta) >= best - 1e-4
+    assert model.weights[0] > 3 * model.weights[1:].max()
+
+
 def test_languages(spark):
-    langs = {"xx": "abcd", "yy": "efgh", "zz": "éüñö"}
+    langs = {"xx": "abcd", "yy": "efgh", "zz": "éüñö", "rare": "qwxk"}
     rows = []
     for i in range(240):
-        lang = list(langs)[i % 3]
+        lang = list(langs)[i % 3] if i % 40 else "rare"
         r = random.Random(i)
         rows.append((i, " ".join("".join(r.choice(langs[lang]) for _ in range(5)) for _ in range(20)), lang))
-    rows += [(900, None, "xx"), (901, "123 !", None), (902, "", "yy")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = {r.doc_id: r for r in langid.identify(docs, langid.train(docs)).collect()}
+    rows += [(900, None, "xx"), (901, "123 !", None), (902, "", "yy"), (903, "abcd " * 20000, None), (0, rows[0][1], rows[0][2])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"held_out": F.lit("clash"), "lang_pred": F.lit(1), "score": F.lit(None).cast("string"), "place": F.lit(1)})
+    model = langid.train(docs, rows=60)
+    found = langid.identify(docs, model).collect()
+    got = {r.doc_id: r for r in found}
+    assert len(found) == len(rows) and set(model.langs) == set(langs)
     held = [r for r in got.values() if r.held_out and r.doc_id < 900]
     assert len(held) > 20 and sum(r.lang_pred == rows[r.doc_id][2] for r in held) >= 0.95 * len(held)
-    assert got[900].lang_pred == got[901].lang_pred == got[902].lang_pred == "und"
+    assert got[900].lang_pred == got[901].lang_pred == got[902].lang_pred == "und" and got[903].lang_pred == "xx"
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) and 0 <= r.score <= 1 for r in got.values())
+    none = langid.train(docs.where("false"))
+    assert {r.lang_pred for r in langid.identify(docs, none).collect()} == {"und"} and langid.identify(docs.where("false"), model).count() == 0
+    even = langid.Model(["a", "b"], np.zeros((2, langid.BUCKETS + 1), np.float32), np.zeros(2), 1.0)
+    assert {r.lang_pred for r in langid.identify(docs.where("doc_id < 5"), even).collect()} == {"a"}
+
+
+def test_language_scores_and_training_match_brute_force():
+    r = random.Random(6)
+    texts = ["".join(r.choice("abc é,1") for _ in range(r.randint(0, 40))) for _ in range(30)]
+    rng = np.random.default_rng(1)
+    table = np.column_stack([rng.normal(0, 1, (2, langid.BUCKETS)), np.zeros(2)]).astype(np.float32)
+    model = langid.Model(["a", "b"], table, np.array([0.1, -0.2]), 1.7)
+    for _, _, data, offs in textvec.chunks(pa.array(texts)):
+        chars, bounds = langid.letters(data, offs)
+        got = model.scores(chars, bounds)
+        for k, (s, e) in enumerate(zip(bounds[:-1], bounds[1:])):
+            own = chars[s:e]
+            assert "".join(map(chr, own)) == re.sub(r"[^a-zé]", " ", texts[k])
+            z = model.bias.copy()
+            for n in (1, 2, 3):
+                for i in range(len(own) - n + 1):
+                    z = z + table[:, langid.grams(own[i : i + n], np.array([0, n]))[n - 1][0]] * langid.SCALE / max(len(own), 1)
+            p = np.exp((z - z.max()) / 1.7)
+            assert np.allclose(got[k], p / p.sum(), atol=1e-5)
+    samples = [(i % 2, np.array([i % 5, 7]), np.array([1.0, 0.5 * (i % 3)])) for i in range(20)]
+    w, bias = langid.ftrl(samples, 2, epochs=1)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(key):
+        if abs(z[key]) <= langid.L1:
+            return 0.0
+        return -(z[key] - np.sign(z[key]) * langid.L1) / ((langid.BETA + np.sqrt(n[key])) / langid.ALPHA + langid.L2)
+
+    for i in np.random.default_rng(3).permutation(20):
+        y, at, x = samples[i]
+        cells = [*zip(at.tolist(), x.tolist()), (langid.BUCKETS, 1.0)]
+        logit = [sum(v * weight((k, c)) for k, v in cells) for c in range(2)]
+        p = np.exp(np.array(logit) - max(logit))
+        p /= p.sum()
+        old = {(k, c): weight((k, c)) for k, _ in cells for c in range(2)}
+        for c in range(2):
+            for k, v in cells:
+                g = v * (p[c] - (c == y))
+                sigma = (np.sqrt(n[k, c] + g * g) - np.sqrt(n[k, c])) / langid.ALPHA
+                z[k, c] += g - sigma * old[k, c]
+                n[k, c] += g * g
+    assert np.allclose([w[c, k] for c in range(2) for k in range(8)], [weight((k, c)) for c in range(2) for k in range(8)])
+    assert np.allclose(bias, [weight((langid.BUCKETS, c)) for c in range(2)])
+    logits, y = rng.normal(0, 3, (50, 2)), rng.integers(0, 2, 50)
+    t = langid.temperature(logits, y)
+    loss = lambda t: -np.mean([logits[i, y[i]] / t - np.log(np.exp(logits[i] / t).sum()) for i in range(50)])
+    assert all(loss(t) <= loss(2.0 ** (i / 4)) + 1e-12 for i in range(-12, 17))
 
 
 def test_quality(spark):
-    rows = [*EDGE, (1, prose(60, 1)), (2, " ".join([prose(20, 2)] * 3)), (3, "### " * 40), (4, "a b\n" * 30), (5, prose(30, 3) + "!!" * 40)]
+    rows = [*EDGE, (1, prose(60, 1)), (2, " ".join([prose(20, 2)] * 3)), (3, "### " * 40), (4, "a b\n" * 30), (5, prose(30, 3) + "!!" * 40), (6, prose(20000, 6))]
     got = {r.doc_id: r for r in quality.quality(frame(spark, rows, True)).collect()}
     for i, t in rows:
         t = t or ""
@@ -451,7 +573,7 @@ def test_quality(spark):
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
         assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and not (r.base_failed and r.kept)
-    assert got[1].kept and not got[5].kept
+    assert got[1].kept and not got[5].kept and got[6].n_words == 20000
     assert quality.cascade_order([("a", 1.0, {1}), ("b", 0.1, {2}), ("c", 1.0, set(range(9)) - {2}), ("d", 0.5, {1, 2, 3})]) == ["b", "c", "d", "a"]
     assert quality.quality(frame(spark, [])).count() == 0
 
@@ -463,7 +585,8 @@ def test_bpe_is_the_library(spark):
     library = Tokenizer.from_file(PATH)
     r = random.Random(4)
     odd = [*ODD, *("".join(r.choice(["'", "s", "re", " ", "  ", "\n", "a", "B", "1", "é", "ß", "日", "!", "<|endoftext|>", "\t", " "]) for _ in range(r.randint(1, 25))) for _ in range(500))]
-    rows = [*EDGE, *((1000 + i, t) for i, t in enumerate(odd)), (1, prose(200, 1)), (2, prose(200, 1))]
+    rows = [*EDGE, *((1000 + i, t) for i, t in enumerate(odd)), (1, prose(200, 1)), (2, prose(200, 1)), (3, prose(20000, 9))]
+    assert bpe.bpe(frame(spark, []), PATH).count() == 0
     got = {r.doc_id: r for r in bpe.bpe(frame(spark, rows, True), PATH, with_ids=True).collect()}
     for i, t in rows:
         ids = library.encode(t or "", add_special_tokens=False).ids
@@ -545,22 +668,47 @@ def test_chunks_and_hashes():
 
 
 def test_pipeline(spark, tmp_path):
+    """Each stage against plain Python."""
     toxic = [(3000 + i, prose(30, i) + (" zzvile zzawful" if i % 5 == 0 else "")) for i in range(200)]
-    item = prose(30, 7777)
-    rows = [*toxic, (1, prose(80, 1)), (2, prose(80, 1)), (3, prose(20, 5555) + " " + item), (4, prose(30, 6666) + " a@b.co"), (5, None)]
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    item = "Maria has 30 red apples and gives 12 of them to Tom; how many apples does Maria have left after that day"
+    copy = prose(80, 1)
+    rows = [*toxic, (1, copy), (2, copy + " more"), (3, f"{prose(20, 5555)} {item.replace('Maria', 'Ana').replace('30', '44')}"), (4, prose(30, 6666) + ' a@b.co token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'), (5, None), (6, ""), (7, copy), (7, copy)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema).withColumns({"rep": F.lit("clash"), "toxic": F.lit(2), "component_id": F.lit(0.5)})
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in toxic], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    step = docs
+    step, left = docs, rows
+    said = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    field = pii.trained()
+
+    def redacted(t):
+        return None if t is None else pii.redact(t, [x for spans in pii.all_spans([t], field)[0] for x in spans])
+
     for name, stage in corpus_pipeline.STAGES[:-1]:
         step = stage(spark, step, str(tmp_path))
         assert step.columns == docs.columns
-    left = {r.doc_id: r for r in step.collect()}
-    assert {i for i, _ in toxic if i % 5} <= left.keys() and not any(i >= 3000 and i % 5 == 0 for i in left)
-    assert {1, 4, 5} <= left.keys() and 2 not in left and 3 not in left
-    assert left[4].text.endswith("<EMAIL>") and left[4].n_chars == len(left[4].text) and left[5].text is None
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(left)
+        if name == "toxicity":
+            left = [(i, t) for i, t in left if "zzvile" not in (t or "")]
+        elif name == "near_duplicates":
+            classes = near_classes(left, 5)
+            left = [(i, t) for i, t in left if classes[i][2]]
+        elif name == "decontamination":
+            gone = {i for i, _ in contaminated(left, [(1, item)])}
+            left = [(i, t) for i, t in left if i not in gone]
+        else:
+            left = [(i, redacted(t)) for i, t in left]
+        assert said(step) == sorted(left, key=repr)
+    assert {1, 4, 5, 6} == {i for i, _ in left if i < 3000} and len(left) > 150
+    assert dict(left)[4].endswith('<EMAIL> token = "<SECRET>"')
+    library = Tokenizer.from_file(PATH)
+    got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == {i: library.encode(t or "", add_special_tokens=False).ids for i, t in left}
+    (tmp_path / "none").mkdir()
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"{name}.parquet")).where("false").write.parquet(str(tmp_path / "none" / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
 
 
 def thue_morse(n):
