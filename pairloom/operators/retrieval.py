@@ -27,15 +27,10 @@ CORPUS_ROWS = 1000
 
 def _blocks(queries: DataFrame, query: str, vector: str) -> list[tuple[np.ndarray, np.ndarray]]:
     """The stated query set, in blocks of ids and vectors; null vectors answer nothing."""
-    rows = queries.select(F.col(query).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v")).where("q is not null and v is not null")
-    out, ids, vectors = [], [], []
-    for r in rows.toLocalIterator():
-        ids.append(r.q)
-        vectors.append(r.v)
-        if len(ids) == QUERY_BLOCK:
-            out.append((np.array(ids), np.array(vectors)))
-            ids, vectors = [], []
-    return [*out, (np.array(ids), np.array(vectors))] if ids else out
+    rows = queries.select(F.col(query).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v")).where("q is not null and v is not null").toArrow()
+    ids, vectors = rows.column("q").to_numpy(), rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    vectors = vectors.reshape(len(ids), -1) if len(ids) else vectors.reshape(0, 0)
+    return [(ids[at : at + QUERY_BLOCK], vectors[at : at + QUERY_BLOCK]) for at in range(0, len(ids), QUERY_BLOCK)]
 
 
 def _products(batches, vectors: np.ndarray):
@@ -94,7 +89,7 @@ def first_ranks(queries: DataFrame, corpus: DataFrame, gold: DataFrame, query: s
     It is one more than the number of items that score better, so nothing is sorted.
     """
     answers = gold.groupBy("query_id").agg(F.collect_set("item_id").alias("gold"))
-    wanted = {r.query_id: set(r.gold) for r in answers.toLocalIterator()}
+    wanted = {r.query_id: set(r.gold) for r in answers.collect()}
 
     def best(ids, vectors, batches):
         own = [np.array(sorted(wanted.get(q, ())), np.int64) for q in ids.tolist()]
@@ -106,7 +101,7 @@ def first_ranks(queries: DataFrame, corpus: DataFrame, gold: DataFrame, query: s
                     yield _long(np.array([q]), items[[top]], scores[[top], k])
 
     found = _scored(queries, corpus, query, item, vector, best, _SCORES)
-    leads = {r.query_id: (r.score, r.item_id) for r in rank(found, "query_id", "item_id", "score", 1).toLocalIterator()}
+    leads = {r.query_id: (r.score, r.item_id) for r in rank(found, "query_id", "item_id", "score", 1).collect()}
 
     def better(ids, vectors, batches):
         score = np.array([leads.get(q, (np.inf, 0))[0] for q in ids.tolist()])
