@@ -27,7 +27,7 @@ from pairloom.storage import shared_dir
 
 #: The most words of a lexicon, and of the counts that a task gathers before it hands them on.
 LEXICON_WORDS, TASK_WORDS = 1 << 16, 200_000
-#: Bytes of the words in a worker's cache; when it is full, or has a million words, it starts anew.
+#: Bytes of the words in a worker's cache; when it is full, or half its table is, it starts anew.
 CACHE_BYTES = 1 << 26
 #: Words of more bytes are merged one by one.
 MATRIX_BYTES = 48
@@ -244,6 +244,10 @@ class WordCache:
         self._offs.add(np.zeros(1, np.int64))
         self._ends.add(np.zeros(1, np.int64))
 
+    def forget(self) -> None:
+        """Give up the words met so far."""
+        self._reset()
+
     @property
     def flat(self) -> np.ndarray:
         return self._flat.data
@@ -401,9 +405,9 @@ class Lexicon:
 class Encoder:
     """Ids of whole texts, chunk by chunk."""
 
-    def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None = None, encode: Callable | None = None):
+    def __init__(self, vocab: Vocabulary, lexicon: Lexicon | None = None, encode: Callable | None = None, bits: int = 21):
         self.vocab, self.lexicon = vocab, lexicon
-        self.cache = WordCache(encode or vocab.merge)
+        self.cache = WordCache(encode or vocab.merge, bits)
 
     def __call__(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(ids, bounds)``: text i has ``ids[bounds[i]:bounds[i + 1]]``."""
@@ -518,7 +522,7 @@ def _encoder(raw, name: str) -> Encoder:
     """A worker's encoder; its lexicon is mapped from the file that came with the job."""
     if name not in _loaded:
         _loaded.clear()
-        _loaded[name] = Encoder(Vocabulary(raw.value), Lexicon.load(SparkFiles.get(name)))
+        _loaded[name] = Encoder(Vocabulary(raw.value), Lexicon.load(SparkFiles.get(name)), bits=18)
     return _loaded[name]
 
 
@@ -558,5 +562,7 @@ def bpe(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFra
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
+        # The worker outlives the task; the lexicon has the frequent words, so the others' ids are cheap to lose.
+        encoder.cache.forget()
 
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, schema)

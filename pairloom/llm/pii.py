@@ -17,9 +17,8 @@ import re
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from pairloom.llm.textvec import map_batches
 
@@ -472,20 +471,21 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redacted(texts: Column) -> Column:
-    """Texts without their personal data; null for null."""
+def redacted(docs: DataFrame) -> DataFrame:
+    """``docs`` with personal data in ``text`` replaced by their kinds; null for null."""
     field = trained()
+    rows = docs.withColumn("text", F.col("text").cast("string"))
+    names = rows.columns
+    at = names.index("text")
 
-    @F.pandas_udf(T.StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        out = []
-        plain = [t if isinstance(t, str) else "" for t in texts]
-        for at in range(0, len(plain), 1000):
-            part = plain[at : at + 1000]
-            out += [redact(t, base + more) for t, (base, more) in zip(part, all_spans(part, field))]
-        return pd.Series([o if isinstance(t, str) else None for t, o in zip(texts, out)], dtype=object)
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            found = all_spans([t or "" for t in texts], field)
+            done = pa.array([None if t is None else redact(t, base + more) for t, (base, more) in zip(texts, found)], pa.string())
+            yield pa.RecordBatch.from_arrays([done if i == at else c for i, c in enumerate(batch.columns)], names)
 
-    return run(texts)
+    return map_batches(rows, run, rows.schema)
 
 
 def find_pii(docs: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ more even for sequences made to collide (Thue-Morse), and over bytes for short p
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 #: Texts are handled together up to so many bytes; one longer text is handled alone.
 CHUNK_BYTES = 1 << 17
 #: Rows that go to a Python worker at once; they are in memory as many times as there are task slots.
-BATCH_ROWS = 1000
+BATCH_ROWS = 300
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -92,12 +93,26 @@ def word_hashes(letters: np.ndarray, size: np.ndarray, lower: bool) -> np.ndarra
     return mix(out + size.astype(_U) * _U(0xD6E8FEB86659FD93))
 
 
+def _trimmed(run):
+    """``run``, after which the worker, which Spark keeps for later tasks, gives back the memory it no longer uses."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+
+    return whole
+
+
 def map_batches(rows: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow`` of wide rows. The session's rows per Arrow batch are lowered to ``BATCH_ROWS`` if it has more."""
     conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:
         conf.set(key, BATCH_ROWS)
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(_trimmed(run), schema)
 
 
 def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
