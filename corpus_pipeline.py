@@ -33,7 +33,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced by their kinds; ``n_chars`` follows the text. Null texts stay null."""
-    done = docs.withColumn("text", redacted(F.col("text").cast("string")))
+    done = redacted(docs)
     return done.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(docs.columns)
 
 
