@@ -25,6 +25,36 @@ def nearest(left: DataFrame, right: DataFrame, key: str, distance: Column, order
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _beside(left: DataFrame, right: DataFrame, key: str, at: str, place: str, order: list[str]) -> DataFrame:
+    """``l, r``: each row of ``left`` with the last row of ``right`` at or before it and the first at or after it, by two
+    sorts of both; of rows at one place the first by ``order``."""
+    first = right.groupBy(key, F.col(place).alias("at")).agg(F.min(F.struct(*order, F.struct(*right.columns).alias("r"))).alias("x"))
+    marks = first.select(key, "at", F.col("x.r").alias("r"), F.lit(0).alias("side"))
+    both = left.select(key, F.col(at).alias("at"), F.struct(*left.columns).alias("l"), F.lit(1).alias("side")).unionByName(marks, allowMissingColumns=True)
+    before = Window.partitionBy(key).orderBy("at", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy(key).orderBy("at", F.desc("side")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    found = both.withColumn("r", F.array(F.last("r", ignorenulls=True).over(before), F.first("r", ignorenulls=True).over(after))).where("side = 1")
+    return found.select("l", F.explode(F.array_distinct(F.array_compact("r"))).alias("r"))
+
+
+def nearest_span(left: DataFrame, right: DataFrame, key: str, ends: tuple[str, str], spans: tuple[str, str], order: list[str], left_id: str, crossed: bool) -> DataFrame:
+    """The row of ``right`` nearest to each row of ``left`` with the same ``key``, with its ``distance``; ties by ``order``.
+
+    The distance is that of crossed ends (``endpoint_distance``), or of the intervals (``interval_distance``), for which no
+    span of a key may lie inside another, and ``order`` must begin with their start. No pairs are formed: the nearest one
+    is beside an end in the order of ends.
+    """
+    (b, e), (s, t) = ends, spans
+    found = _beside(left, right, key, b, t, order)
+    if crossed:
+        found = found.unionByName(_beside(left, right, key, e, s, order))
+    rows = found.select("l.*", *(F.col("r")[c].alias(c) for c in right.columns if c != key))
+    measure = endpoint_distance if crossed else interval_distance
+    rows = rows.withColumn("distance", measure(F.col(b), F.col(e), F.col(s), F.col(t)))
+    w = Window.partitionBy(key, left_id).orderBy("distance", *order)
+    return rows.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
+
+
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, order: list[str]) -> DataFrame:
     """Each row of ``left`` with the ``value`` of the last row of ``right`` at or before it, by one sort of both.
 

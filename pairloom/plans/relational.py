@@ -170,30 +170,28 @@ c AS (SELECT user_id, event_id AS cita, s, s + 60 AS t FROM e WHERE event_type =
 SELECT block, cita, distance FROM (SELECT block, cita, {distance} AS distance, row_number() OVER (PARTITION BY block ORDER BY {distance}, s, cita) AS r FROM b JOIN c USING (user_id)) WHERE r = 1"""
 
 
-def _nearest(spark: SparkSession, sf: str, distance) -> DataFrame:
+def _nearest(spark: SparkSession, sf: str, crossed: bool) -> tuple[DataFrame, DataFrame]:
+    """Each block with its nearest citation, and all citations."""
     s = F.unix_timestamp("ts")
     blocks = _events(spark, sf, "click", F.col("event_id").alias("block"), s.alias("b"), (s + 600).alias("e"))
     cites = _events(spark, sf, "error", F.col("event_id").alias("cita"), s.alias("s"), (s + 60).alias("t"))
-    return joins.nearest(blocks, cites, "user_id", distance(F.col("b"), F.col("e"), F.col("s"), F.col("t")), ["s", "cita"], ["block"]).select("block", "cita", "distance")
+    return joins.nearest_span(blocks, cites, "user_id", ("b", "e"), ("s", "t"), ["s", "cita"], "block", crossed), cites
 
 
 @query(_nearest_sql("least(abs(s - e), abs(t - b))"))
 def nearest_citation_v5(spark: SparkSession, sf: str) -> DataFrame:
-    return _nearest(spark, sf, joins.endpoint_distance)
+    return _nearest(spark, sf, True)[0].select("block", "cita", "distance")
 
 
 @query(_nearest_sql("greatest(b - t, s - e, 0)"))
 def nearest_citation_v6(spark: SparkSession, sf: str) -> DataFrame:
-    return _nearest(spark, sf, joins.interval_distance)
+    return _nearest(spark, sf, False)[0].select("block", "cita", "distance")
 
 
 @query(_nearest_sql("greatest(b - t, s - e, 0)").replace("SELECT block, cita, distance FROM (SELECT block, cita,", "SELECT n.block, c.cita FROM (SELECT user_id, s, block, cita,").replace("WHERE r = 1", "n JOIN c ON c.user_id = n.user_id AND c.s = n.s WHERE n.r = 1"))
 def anchored_citations(spark: SparkSession, sf: str) -> DataFrame:
     """All citations that start where a block's nearest one does."""
-    s = F.unix_timestamp("ts")
-    blocks = _events(spark, sf, "click", F.col("event_id").alias("block"), s.alias("b"), (s + 600).alias("e"))
-    cites = _events(spark, sf, "error", F.col("event_id").alias("cita"), s.alias("s"), (s + 60).alias("t"))
-    near = joins.nearest(blocks, cites, "user_id", joins.interval_distance(F.col("b"), F.col("e"), F.col("s"), F.col("t")), ["s", "cita"], ["block"])
+    near, cites = _nearest(spark, sf, False)
     return joins.with_anchor(near, cites, "user_id", "s", ["block"]).select("block", "cita")
 
 

@@ -86,6 +86,20 @@ def test_joins(spark):
     assert [tuple(r) for r in joins.containment(a, b, "l", "r", "s").collect()] == [(1, 9, 3)]
 
 
+def test_nearest_spans_match_all_pairs(spark):
+    r = random.Random(7)
+    left = spark.createDataFrame([(r.randrange(3), i, b := r.randrange(200), b + r.randrange(1, 30)) for i in range(80)], "k int, id int, b int, e int")
+    spans = [(r.randrange(3), i, r.randrange(220)) for i in range(40)]
+    distance = {True: joins.endpoint_distance, False: joins.interval_distance}
+    for crossed in (True, False):
+        # Crossed ends allow any spans; intervals, those of one width.
+        right = spark.createDataFrame([(k, c, s, s + (r.randrange(1, 40) if crossed else 8)) for k, c, s in spans], "k int, c int, s int, t int")
+        measure = distance[crossed](F.col("b"), F.col("e"), F.col("s"), F.col("t"))
+        want = joins.nearest(left, right, "k", measure, ["s", "c"], ["id"]).select("id", "c", "distance").collect()
+        got = joins.nearest_span(left, right, "k", ("b", "e"), ("s", "t"), ["s", "c"], "id", crossed).select("id", "c", "distance").collect()
+        assert sorted(got) == sorted(want) and len(got) > 70
+
+
 def test_bm25_and_rrf(spark):
     docs = spark.createDataFrame([(0, "sustracción vehículo"), (1, "documento falsificado"), (2, None)], "d int, text string")
     got = retrieval.bm25_scores(spark.createDataFrame([(5, "vehículo")], "q int, text string"), docs, "q", "d", "text").collect()
