@@ -314,10 +314,12 @@ def neighbor_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return near.withColumn("r", place).where("r <= 2").select("p_brand", "p_partkey", F.col("n").cast("long").alias("negativo"))
 
 
-@query()
+@query("""WITH g AS (SELECT l_partkey, list({'k': [{'t': concat_ws('/', l_suppkey, l_returnflag), 'f': l_linenumber, 'p': l_extendedprice, 'o': l_orderkey}]} ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, concat_ws('/', l_suppkey, l_returnflag)) AS x FROM lineitem GROUP BY l_partkey),
+d AS (SELECT l_partkey, list_reduce(x, lambda a, b: CASE WHEN list_contains(list_transform(a.k, lambda y: y.t), b.k[1].t) OR len(list_filter(a.k, lambda y: y.f = b.k[1].f)) >= 2 THEN a ELSE {'k': list_concat(a.k, b.k)} END) AS z FROM g)
+SELECT l_partkey, u.t AS texto, u.f AS fuente, u.p AS l_extendedprice, u.o AS l_orderkey FROM (SELECT l_partkey, unnest(z.k) AS u FROM d)""")
 def cap_per_source(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").select("l_partkey", F.concat_ws("/", "l_suppkey", "l_returnflag").alias("texto"), F.col("l_linenumber").alias("fuente"), "l_extendedprice", "l_orderkey")
-    return curate.greedy_cap(rows.withColumn("neg", -F.col("l_extendedprice")), "l_partkey", "texto", "fuente", ["neg", "l_orderkey", "fuente"]).drop("neg")
+    return curate.greedy_cap(rows.withColumn("neg", -F.col("l_extendedprice")), "l_partkey", "texto", "fuente", ["neg", "l_orderkey", "fuente", "texto"]).drop("neg")
 
 
 @query("SELECT l_partkey, l_orderkey, l_linenumber, n FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS n FROM lineitem) WHERE n <= 15")
