@@ -176,7 +176,7 @@ _FORBIDDEN = -1e4
 _MARK = re.compile(r"\[(email|ip|card|phone|secret)\|((?:[^\[\]]|\[at\]|\[\.\])*)\]")
 _WORD = re.compile(r"[^\s]+")
 _TRIGGER = re.compile(r"[0-9@=]|(?<!\w)(?:dot|DOT|arroba)(?!\w)|[(\[]at[)\]]|[A-Z]{12}")
-_EDGES = "()[]{}<>,;:!?\"'.…"
+_EDGES = "()[]{}<>,;:!?\"'.…#$%&*|"
 
 
 _RUNS = re.compile(r"(.)\1{3,}")
@@ -387,7 +387,7 @@ class Field:
                     while j < len(words) and labels[j] == labels[i] + 1:
                         j += 1
                     s, e = words[i][0], words[j - 1][1]
-                    while e > s and texts[n][e - 1] in ".,;:!?\"'":
+                    while e > s and texts[n][e - 1] in ".,;:!?\"'#$%&*|":
                         e -= 1
                     if LABELS[labels[i]][2:] == "secret":
                         s = _value_start(texts[n], s, e)
