@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from urllib.parse import urlparse
 
+from py4j.protocol import Py4JError
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,7 +59,10 @@ def discard(path: str) -> None:
 @atexit.register
 def _discard_all() -> None:
     for path in sorted(_made):
-        discard(path)
+        try:
+            discard(path)
+        except (Py4JError, OSError):  # the JVM, or the store, went first
+            return
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
