@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from pairloom.llm.pretok import pretokens
 from pairloom.llm.shared import open_shared, rename_shared
 from pairloom.llm.textvec import _TABLE, chunks, map_batches, runs
-from pairloom.storage import shared_dir
+from pairloom.storage import materialise, shared_dir
 
 #: The most words of a lexicon, and of the counts that a task gathers before it hands them on.
 LEXICON_WORDS, TASK_WORDS = 1 << 16, 200_000
@@ -478,8 +478,15 @@ def build_lexicon(docs: DataFrame, vocab: Vocabulary, words: int = LEXICON_WORDS
     At most ``words`` come to the driver, of ``MATRIX_BYTES`` at most.
     """
     count = map_batches(docs.select(F.col("text").cast("string").alias("text")), _word_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    rows = count.where("n > 1").orderBy(F.desc("n"), "word").limit(words).collect()
-    top = [w for w in (bytes(r.word) for r in rows) if w not in vocab.special]
+    # Frequencies are put into classes, eight to each doubling, so nothing is sorted and no task sends its own best.
+    count = materialise(count.where("n > 1").withColumn("class", F.floor(F.log2("n") * 8)), "counts")
+    least, left = None, words
+    for r in sorted(count.groupBy("class").agg(F.count("*").alias("n")).collect(), key=lambda r: -r["class"]):
+        if r.n > left:
+            break
+        least, left = r["class"], left - r.n
+    rows = count.where(F.col("class") >= least).select("word").collect() if least is not None else count.select("word").limit(words).collect()
+    top = [w for w in sorted(bytes(r.word) for r in rows) if w not in vocab.special]
     data = np.frombuffer(b"".join(top), np.uint8)
     end = np.cumsum([len(w) for w in top], dtype=np.int64) if top else np.zeros(0, np.int64)
     start = np.r_[0, end[:-1]].astype(np.int64) if top else end
