@@ -261,9 +261,9 @@ CAST(length(trim(concat('Artículo ', p_size, '. (', p_name, '). ', repeat(conca
 def official_articles(spark: SparkSession, sf: str) -> DataFrame:
     """A code of one article for each part, as pages by brand; each page has a header and ends in a chapter."""
     body = F.concat(F.lit("Artículo "), "p_size", F.lit(". ("), "p_name", F.lit("). "), F.repeat(F.concat("p_type", F.lit(" ")), 20))
-    pages = table(spark, sf, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(body)).alias("pages"))
-    pages = pages.withColumn("pages", F.transform("pages", lambda p: F.concat(F.lit("CÓDIGO PENAL\n"), p, F.lit("\nCAPÍTULO II\nOtra cosa\n12"))))
-    return pages.select("p_brand", F.explode(spans.code_articles(F.col("pages"))).alias("x")).select("p_brand", "x.articulo", "x.pagina", F.length("x.cuerpo").alias("n"))
+    pages = table(spark, sf, "part").select("p_brand", body.alias("body"))
+    pages = pages.select("p_brand", "body", F.concat(F.lit("CÓDIGO PENAL\n"), "body", F.lit("\nCAPÍTULO II\nOtra cosa\n12")).alias("page"))
+    return spans.page_articles(pages, "p_brand", "page", ["body"]).select("p_brand", "articulo", "pagina", F.length("cuerpo").alias("n"))
 
 
 @query("SELECT concat(l_suppkey, ' bis') AS numero, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY l_suppkey ORDER BY n DESC, numero LIMIT 15")

@@ -54,6 +54,17 @@ def test_code_articles(spark):
     assert [(r.articulo, r.pagina) for r in found] == [("252 bis", 1), ("253", 2)] and found[1].cuerpo == "Artículo 253. (Dos). y"
 
 
+def test_page_articles(spark):
+    """Row by row as from an array, also where a heading or body crosses pages; a long code takes no longer a page."""
+    pages = ["Artículo 1. (Uno) a\nArtículo", "12\n2 bis", "(Dos) b", "sigue\nCAPÍTULO I\nno", None, "no\nArtículo 3. (Tres) c"]
+    rows = spark.createDataFrame([(k, i, p) for k in (None, "x") for i, p in enumerate(pages)], "k string, i int, p string").repartition(3)
+    got = spans.page_articles(rows, "k", "p", ["i"], shortest=1).collect()
+    want = [("1", "Artículo 1. (Uno) a", 1), ("2 bis", "Artículo 2 bis (Dos) b sigue", 1), ("3", "Artículo 3. (Tres) c", 6)]
+    assert all(sorted(tuple(r)[1:] for r in got if r.k == k) == want for k in (None, "x")) and len(got) == 6
+    whole = spark.createDataFrame([(pages,), (["Artículo 1. (x) y"] * 20_000,)], "p array<string>").select(spans.code_articles(F.col("p"), shortest=1).alias("x")).collect()
+    assert [tuple(r) for r in whole[0].x] == want and len(whole[1].x) == 20_000 and whole[1].x[-1].pagina == 20_000
+
+
 def test_passage_window_by_whole_words(spark):
     text = "palabra " * 200 + "art. 5 del CP " + "palabra " * 200
     b = text.index("art.")
