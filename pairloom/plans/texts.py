@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pairloom.functions import spans, text as fx
 from pairloom.operators import curate, graph, joins
 from pairloom.plans.registry import query
-from pairloom.storage import materialise, table
+from pairloom.storage import materialise, spread, table
 
 _NORM = "trim(regexp_replace(replace(coalesce(text, ''), chr(160), ' '), '\\s+', ' ', 'g'))"
 _FP = f"sha256(replace(lower({_NORM}), 'ß', 'ss'))"
@@ -105,7 +105,7 @@ def file_hashes(spark: SparkSession, sf: str) -> DataFrame:
 SELECT l_orderkey, l_linenumber, l_linenumber + unnest([0, 2, 1]) AS articulo, unnest([1, 2, 3]) AS pos, 15 AS b, CAST(length(x) AS INTEGER) AS e FROM t""")
 def citations(spark: SparkSession, sf: str) -> DataFrame:
     cited = F.concat(F.lit("Visto el caso: arts. "), "l_linenumber", F.lit("-"), F.col("l_linenumber") + 2, F.lit(" del Código Penal"))
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.posexplode(spans.penal_citations(cited)).alias("p", "c"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.posexplode_outer(spans.penal_citations(cited)).alias("p", "c")).where("c is not null")
     return rows.select("l_orderkey", "l_linenumber", F.col("c.articulo").cast("int").alias("articulo"), (F.col("p") + 1).alias("pos"), "c.b", "c.e")
 
 
@@ -114,14 +114,14 @@ SELECT l_orderkey, l_linenumber, unnest(['CP', 'CPP', 'LEY:' || l_linenumber]) A
 CAST(unnest([0, length(x) + 2, length(x) + length(y) + 4]) AS INTEGER) AS b, CAST(unnest([length(x), length(x) + length(y) + 2, length(x) + length(y) + length(z) + 4]) AS INTEGER) AS e FROM t""")
 def citations_v7(spark: SparkSession, sf: str) -> DataFrame:
     cited = F.concat(F.lit("art. "), "l_partkey", F.lit(" inciso 3 del Código Penal; arts. "), "l_suppkey", F.lit(" del CPP; art. 5 de la Ley "), "l_linenumber")
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.explode(spans.norm_citations(cited)).alias("c")).select("l_orderkey", "l_linenumber", "c.norma", "c.articulo", "c.inciso", "c.b", "c.e")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", spans.each(spans.norm_citations(cited)).alias("c")).where("c is not null").select("l_orderkey", "l_linenumber", "c.norma", "c.articulo", "c.inciso", "c.b", "c.e")
 
 
 @query("""WITH t AS (SELECT p_partkey, concat('Se invoca el art. ', p_size) AS x, concat(' y el art. ', p_size + 1, ' del CP') AS y, p_size FROM part)
 SELECT p_partkey, 13 AS b, CAST(length(x) AS INTEGER) AS e, concat('art. ', p_size) AS cita FROM t""")
 def citations_unresolved(spark: SparkSession, sf: str) -> DataFrame:
     said = F.concat(F.lit("Se invoca el art. "), "p_size", F.lit(". Luego el art. "), F.col("p_size") + 1, F.lit(" del CP"))
-    return table(spark, sf, "part").select("p_partkey", F.explode(spans.unresolved_citations(said)).alias("x")).select("p_partkey", "x.b", "x.e", F.col("x.text").alias("cita"))
+    return spread(table(spark, sf, "part").select("p_partkey", "p_size")).select("p_partkey", spans.each(spans.unresolved_citations(said)).alias("x")).where("x is not null").select("p_partkey", "x.b", "x.e", F.col("x.text").alias("cita"))
 
 
 @query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'condena' WHEN 1 THEN 'ambiguo' WHEN 2 THEN 'no_identificado' ELSE 'precedente' END AS papel, CASE p_size % 4 WHEN 0 THEN 'condena' WHEN 1 THEN 'ambiguo' WHEN 2 THEN 'cita_sin_aplicacion_demostrada' ELSE 'precedente_o_documento_citado' END AS papel_v7 FROM part")
@@ -166,7 +166,7 @@ _RULING_SQL = f"concat('{_HEAD}{_FACT}', p_name, '{_SCENE} {_RULING[0]}', p_size
 
 def _ruling(spark: SparkSession, sf: str) -> DataFrame:
     said = F.concat(F.lit(_HEAD + _FACT), "p_name", F.lit(f"{_SCENE} {_RULING[0]}"), "p_size", F.lit(f"{_RULING[1]} {_RULING[2]}"))
-    return table(spark, sf, "part").select("p_partkey", "p_name", "p_size", said.alias("t"))
+    return spread(table(spark, sf, "part").select("p_partkey", "p_name", "p_size")).select("p_partkey", said.alias("t"))
 
 
 _PARTS = f"""WITH t AS (SELECT p_partkey, p_name, p_size, {_RULING_SQL} AS t FROM part),
@@ -175,12 +175,12 @@ s AS (SELECT p_partkey, t, CAST(strpos(t, 'Se condenó') - 1 AS INTEGER) AS c, C
 
 @query(f"{_PARTS} SELECT p_partkey, unnest([0, c, p]) AS b, unnest([c - 1, p - 1, n]) AS e FROM s")
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return _ruling(spark, sf).select("p_partkey", F.explode(spans.sentences(F.col("t"))).alias("x")).select("p_partkey", "x.*")
+    return _ruling(spark, sf).select("p_partkey", spans.each(spans.sentences(F.col("t"))).alias("x")).where("x is not null").select("p_partkey", "x.*")
 
 
 @query(f"{_PARTS} SELECT p_partkey, unnest([0, d, c, p]) AS b, unnest([d, c, p, n]) AS e FROM (SELECT *, CAST(strpos(t, 'Pérez') - 1 AS INTEGER) AS d FROM s)")
 def paragraphs(spark: SparkSession, sf: str) -> DataFrame:
-    return _ruling(spark, sf).select("p_partkey", F.explode(spans.paragraphs(F.col("t"))).alias("x")).select("p_partkey", "x.*")
+    return _ruling(spark, sf).select("p_partkey", spans.each(spans.paragraphs(F.col("t"))).alias("x")).where("x is not null").select("p_partkey", "x.*")
 
 
 #: Five paragraphs: a heading, facts by the part's size, a legal heading, what looks factual there, and procedure.
@@ -197,19 +197,23 @@ def fact_blocks(spark: SparkSession, sf: str) -> DataFrame:
     line = lambda i: F.concat(F.lit(_BLOCKS[i]), "p_name", F.lit(_PAD))
     fact = F.concat(F.lit(_BLOCKS[1]), "p_name", F.repeat(F.lit(_PAD), F.col("p_size") % 3))
     said = F.concat_ws("\n", F.lit(_BLOCKS[0]), fact, F.lit(_BLOCKS[2]), line(3), line(4))
-    rows = table(spark, sf, "part").select("p_partkey", F.explode(spans.fact_blocks(said)).alias("x")).select("p_partkey", "x.*").drop("texto")
+    rows = spread(table(spark, sf, "part").select("p_partkey", "p_name", "p_size")).select("p_partkey", spans.each(spans.fact_blocks(said)).alias("x")).where("x is not null").select("p_partkey", "x.*").drop("texto")
     return curate.best(rows, ["p_partkey"], [F.desc("prioridad"), "b"], 4)
 
 
+def _structured(spark: SparkSession, sf: str) -> DataFrame:
+    return _ruling(spark, sf).select("p_partkey", spans.each(spans.structured(F.col("t"))).alias("x")).where("x is not null").select("p_partkey", "x.*")
+
+
 @query(f"{_PARTS} SELECT p_partkey, {len(_HEAD)} AS b, c - 1 AS e, 'hechos probados' AS seccion, sha256(concat_ws('|', p_partkey, 'hecho', {len(_HEAD)}, c - 1)) AS hecho_id FROM s WHERE c - 1 - {len(_HEAD)} >= 60")
 def v7_facts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _ruling(spark, sf).select("p_partkey", F.explode(spans.structured(F.col("t"))).alias("x")).select("p_partkey", "x.*").where("hecho")
+    rows = _structured(spark, sf).where("hecho")
     return rows.select("p_partkey", "b", "e", "seccion", F.sha2(F.lower(F.concat_ws("|", "p_partkey", F.lit("hecho"), "b", "e")), 256).alias("hecho_id"))
 
 
 @query(f"""{_PARTS} SELECT p_partkey, 'hechos probados' AS seccion, 2 AS oraciones, 1 AS decisiones, 1 AS hechos FROM s UNION ALL SELECT p_partkey, 'por tanto', 1, 1, 0 FROM s""")
 def v7_section(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _ruling(spark, sf).select("p_partkey", F.explode(spans.structured(F.col("t"))).alias("x")).select("p_partkey", "x.*")
+    rows = _structured(spark, sf)
     return rows.groupBy("p_partkey", "seccion").agg(F.count("*").alias("oraciones"), F.count_if("decision").alias("decisiones"), F.count_if("hecho").alias("hechos"))
 
 
@@ -228,9 +232,8 @@ SELECT p_partkey, trim(regexp_replace(substr(m, CAST(l + 1 AS BIGINT), CAST(r -
 def passage_windows(spark: SparkSession, sf: str) -> DataFrame:
     """The window of each citation of the code, and what lies around it; windows of fewer than 150 characters go."""
     said = F.concat(F.repeat(F.lit(_STEP), F.col("p_size") + 100), F.lit("art. "), "p_size", F.lit(" del Código Penal "), F.repeat(F.lit(_STEP), 40))
-    rows = table(spark, sf, "part").select("p_partkey", said.alias("t")).select("p_partkey", "t", F.explode(spans.penal_citations(F.col("t"))).alias("c"))
-    rows = rows.select("p_partkey", spans.passage_window(F.col("t"), F.col("c.b"), F.col("c.e")).alias("texto"), spans.evidence(F.col("t"), F.col("c.b"), F.col("c.e")).alias("evidencia"))
-    return rows.where(F.length("texto") >= 150)
+    good = F.filter(spans.passages(said), lambda x: F.length(x["texto"]) >= 150)
+    return spread(table(spark, sf, "part").select("p_partkey", "p_size")).select("p_partkey", spans.each(good).alias("x")).where("x is not null").select("p_partkey", "x.texto", "x.evidencia")
 
 
 #: What the quality gate reads, by a part's size: facts, too little, one action, negation, procedure.
@@ -248,7 +251,7 @@ _WHY = "CASE p_size % 5 WHEN 1 THEN 'longitud' WHEN 2 THEN 'pocas_acciones' WHEN
 def quality_gate_text(spark: SparkSession, sf: str) -> DataFrame:
     """The gate on texts: cleaned of theory first, then counted."""
     said = F.concat(F.get(F.array(*map(F.lit, _SAID)), F.col("p_size") % 5), "p_name")
-    rows = table(spark, sf, "part").select("p_partkey", "p_size", spans.fact_features(said).alias("x"))
+    rows = spread(table(spark, sf, "part").select("p_partkey", "p_name", "p_size")).select("p_partkey", "p_size", spans.each(F.array(spans.fact_features(said))).alias("x"))
     c = {
         "split": F.lit("train"), "in_catalogue": F.lit(True), "excluded": F.lit(False), "base": F.col("p_size") + 100, "role": F.lit("condena"), "length": F.length("x.texto"), "actions": F.col("x.acciones"),
         "procedural": F.col("x.procesales"), "theory": F.col("x.teoria"), "distance": F.col("p_size") * 10, "section": F.lit("hechos"),

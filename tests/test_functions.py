@@ -74,6 +74,35 @@ def test_passage_window_by_whole_words(spark):
     assert short == "x y"
 
 
+def test_passages_match_whole_text(spark):
+    """Windows from what lies near are those that all ends of the text give; sums of long arrays are in runs."""
+    r, cited = random.Random(9), "art. 5 del CP"
+    side = lambda n: "".join(r.choice(["uno ", "dos. ", ". \n ", "\n", "  ", "x" * 9, "y", "!\t", "\n\n"]) for _ in range(n))
+    texts = [f"{side(r.choice([0, 3, 60]))} {cited} {side(r.choice([0, 3, 60]))}" for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4).select("t", spans.passages(F.col("t"), 40, 30, 20).alias("x"), spans.passage_window(F.col("t"), F.instr("t", cited) - 1, F.instr("t", cited) - 1 + len(cited), 40, 30, 20).alias("w")).collect()
+    for x in rows:
+        m, b = x.t.replace(cited, " " * len(cited)), x.t.index(cited)
+        e, n = b + len(cited), len(x.t)
+        left, right, ends = max(0, b - 40), min(n, e + 30), [k.end() for k in re.finditer(r"[.!?]\s+|\n+", m)]
+        first, last = re.search(r"\s", m[max(0, left - 1) : b - 1]), re.search(r"(?s)^(.*\s)", m[e:right])
+        start = max((k for k in ends if left - 20 <= k <= left), default=0 if left == 0 else left + first.start() if first else b)
+        stop = min((k for k in ends if right <= k <= right + 20), default=n if right == n else e + (last.end() if last else 0))
+        if left == 0 or first:  # else whether a word ends at the citation itself
+            assert x.w == x.x[0].texto == re.sub(r"\s+", " ", m[start:stop]).strip(), x.t
+    sums = spark.range(1).select(spans.running(F.sequence(F.lit(1), F.lit(1000))).alias("x"), spans.running(F.array().cast("array<int>")).alias("y")).first()
+    assert sums.x == [k * (k + 1) // 2 for k in range(1001)] and sums.y == [0]
+
+
+def test_small_files_are_spread(spark, tmp_path):
+    """A small file is read by one task; what takes long with each row is dealt to all cores."""
+    from pairloom.plans import texts
+
+    spark.range(400).selectExpr("id as p_partkey", "'a b' as p_name", "cast(id % 50 as int) as p_size", "'x' as p_brand", "'y' as p_type").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("passage_windows", "v7_facts", "quality_gate_text", "citations_unresolved"):
+        df = getattr(texts, name)(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() >= 4 and df.count() > 0, name
+
+
 def test_mask_keeps_length(spark):
     r = random.Random(6)
     texts = ["".join(r.choice(["art. 5 del CP", "arts. 7-9 y 12 bis del Código Penal", "art. ", "arts ", "1", "25", " bis", " del ", "CP", "CPP", "Código Penal", ",", " y ", "-", "\n", "é", "🎉", ".", " "]) for _ in range(r.randint(0, 30))) for _ in range(300)]
