@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 
-def per_query(top: DataFrame, gold: DataFrame, ranks: DataFrame, query: str, item: str, cuts: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
+def per_query(top: DataFrame, gold: DataFrame, ranks: DataFrame, query: str, item: str, cuts: tuple[int, ...] = (1, 3, 5), size: DataFrame | None = None) -> DataFrame:
     """Hits of each query: ``first_rank``, ``hits_k`` for each cut, ``dcg10`` and ``idcg10``, ``n_gold``, ``n_ranked``.
 
-    ``top`` holds the best 10 of a ranking; ``ranks(query, first_rank, n_ranked)`` what needs all of it.
+    ``top`` holds the best 10 of a ranking; ``ranks(query, first_rank, n_ranked)`` what needs all of it. Where ``size(query,
+    n_gold)`` is given, ``gold`` need hold no more than what is in ``top``.
     """
-    size = gold.groupBy(query).agg(F.count("*").alias("n_gold"))
+    size = size if size is not None else gold.groupBy(query).agg(F.count("*").alias("n_gold"))
     marked = top.join(gold.select(query, item, F.lit(1).alias("hit")), [query, item], "left")
     aggs = [F.count_if((F.col("rank") <= k) & (F.col("hit") == 1)).alias(f"hits_{k}") for k in cuts]
     gain = F.when((F.col("hit") == 1) & (F.col("rank") <= 10), 1 / F.log2(F.col("rank") + 1))

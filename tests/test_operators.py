@@ -1,3 +1,4 @@
+import math
 import pathlib
 import random
 
@@ -126,6 +127,48 @@ def test_dense_ranking_matches_brute_force(spark):
         retrieval.reranked(corpus, "other", "i", F.lit(1))
 
 
+def test_dense_by_label_matches_brute_force(spark, monkeypatch):
+    """Ranks, nearest ids and losses from bounded pieces: several blocks, pieces and trims, ties, and rows without vectors or labels."""
+    for name, n in (("QUERY_BLOCK", 4), ("QUERIES", 3), ("CORPUS_ROWS", 7)):
+        monkeypatch.setattr(retrieval, name, n)
+    r = random.Random(8)
+    rows = [(i * 3 % 197, None if i == 9 else [float(r.randrange(-2, 3)) / 4 for _ in range(3)], r.choice(["a", "b", None])) for i in range(120)]
+    corpus = spark.createDataFrame(rows, "i long, v array<float>, l string").repartition(3)
+    queries = corpus.where("i % 10 = 0")
+    by = {i: (v, lab) for i, v, lab in rows if v}
+    asked = sorted(i for i in by if i % 10 == 0)
+    dot = lambda a, b: sum(x * y for x, y in zip(by[a][0], by[b][0]))
+    order = {q: sorted((i for i in by if i != q), key=lambda i: (-dot(q, i), i)) for q in asked}
+    gold = {q: [i for i in order[q] if by[q][1] is not None and by[i][1] == by[q][1]] for q in asked}
+    assert len(asked) > 8
+    ranks = {x.query_id: (x.first_rank, x.n_ranked) for x in retrieval.first_ranks(queries, corpus, None, "i", "i", "v", "l").collect()}
+    assert ranks == {q: (order[q].index(gold[q][0]) + 1 if gold[q] else None, len(order[q])) for q in asked}
+    pairs = spark.createDataFrame([(q, i) for q in asked for i in gold[q]], "query_id long, item_id long")
+    assert ranks == {x.query_id: (x.first_rank, x.n_ranked) for x in retrieval.first_ranks(queries, corpus, pairs, "i", "i", "v").collect()}
+    for k in (1, 5, 200):
+        top = retrieval.dense_top(queries, corpus, "i", "i", "v", k).collect()
+        assert {(x.query_id, x.rank): x.item_id for x in top} == {(q, n + 1): i for q in asked for n, i in enumerate(order[q][:k])}
+        near = retrieval.nearest_ids(queries, corpus, "i", "i", "v", k).collect()
+        assert {(x.query_id, x.rank): x.item_id for x in near} == {(q, n + 1): i for q in asked for n, i in enumerate(sorted(order[q], key=lambda i: (abs(i - q), i))[:k])}
+    loss = {x.query_id: (x.lse, x.pos) for x in retrieval.contrastive(queries, corpus, "i", "i", "v", "l", 20).collect()}
+    for q in asked:
+        assert loss[q][0] == pytest.approx(math.log(sum(math.exp(20 * dot(q, i)) for i in order[q])))
+        assert loss[q][1] == (pytest.approx(sum(20 * dot(q, i) for i in gold[q]) / len(gold[q])) if gold[q] else None)
+
+
+def test_bm25_top_matches_all_scores(spark, monkeypatch):
+    r = random.Random(2)
+    words = lambda n: " ".join(r.choice("abcdefghij") for _ in range(n))
+    docs = spark.createDataFrame([(d, None if d == 7 else words(r.randrange(9))) for d in range(150)], "d long, text string").repartition(3)
+    queries = spark.createDataFrame([(q, words(3)) for q in range(12)] + [(50, None), (51, "zz")], "q long, text string")
+    want = {(x.q, x.d): (x["rank"], x.score) for x in retrieval.rank(retrieval.bm25_scores(queries, docs, "q", "d", "text"), "q", "d", "score", 6).collect()}
+    for spread, terms in ((100, 20_000), (1_000_000, 20_000), (1, 3)):
+        monkeypatch.setattr(retrieval, "SPREAD", spread)
+        monkeypatch.setattr(retrieval, "FILTER_TERMS", terms)
+        assert want == {(x.q, x.d): (x["rank"], x.score) for x in retrieval.bm25_top(queries, docs, "q", "d", "text", 6).collect()}
+    assert len(want) == 72 and retrieval.bm25_top(queries.where("q = 50"), docs, "q", "d", "text", 6).count() == 0
+
+
 def test_metrics(spark):
     ranked = spark.createDataFrame([(1, i, i) for i in range(1, 6)], "q int, i int, rank int")
     ranks = spark.createDataFrame([(1, 2, 5)], "q int, first_rank int, n_ranked int")
