@@ -21,6 +21,15 @@ def test_citation_lists_ranges_and_suffixes(spark):
     assert arts("arts. 5-90 del CP") == ["5", "90"]
 
 
+def test_lists_are_cut_once(spark):
+    """Numbers as they are written, also those that are no int; a list's numbers are found without their places."""
+    e = lambda t: one(spark, spans.expand, t)
+    assert e("007, 3 - 5 y 99999999999, 10 BIS al 12, 4\u20136") == ["7", "3", "5", "4", "99999999999", "10 bis", "12", "6"]
+    assert e("1 a 4, 1") == ["1", "4", "2", "3"] and e("1-60") == ["1", "60"] and e("000") == ["0"] and e("") == e(None) == []
+    plan = spark.range(1).select(spans.expand(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" in plan and "regexp_replace(coalesce" not in plan
+
+
 def test_norms_and_unresolved_citations(spark):
     found = one(spark, spans.norm_citations, "art. 251 del Código Penal; arts. 124 y 173 del CPP; art. 5 de la Ley 348")
     assert [f"{c.norma}:{c.articulo}" for c in found] == ["CP:251", "CPP:124", "CPP:173", "LEY:348:5"]
