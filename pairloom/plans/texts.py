@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pairloom.functions import spans, text as fx
 from pairloom.operators import curate, graph, joins
 from pairloom.plans.registry import query
+from pairloom.sources import files
 from pairloom.storage import materialise, spread, table
 
 _NORM = "trim(regexp_replace(replace(coalesce(text, ''), chr(160), ' '), '\\s+', ' ', 'g'))"
@@ -96,9 +97,8 @@ def error_side_output(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def file_hashes(spark: SparkSession, sf: str) -> DataFrame:
-    """Every file of the folder, of 2 GB at most: a file is one value."""
-    files = spark.read.format("binaryFile").options(pathGlobFilter="*.parquet", recursiveFileLookup=True).load(sf)
-    return files.select(F.regexp_extract("path", r"([^/]+)\.parquet", 1).alias("tabla"), "length", F.sha2("content", 256).alias("sha256"))
+    """Every file of the folder."""
+    return files.file_hashes(spark, sf, "*.parquet").select(F.regexp_extract("path", r"([^/]+)\.parquet", 1).alias("tabla"), "length", "sha256")
 
 
 @query("""WITH t AS (SELECT l_orderkey, l_linenumber, concat('Visto el caso: arts. ', l_linenumber, '-', l_linenumber + 2, ' del Código Penal') AS x FROM lineitem)

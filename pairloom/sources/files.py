@@ -71,6 +71,33 @@ def allowed(pages: DataFrame, hosts: str) -> DataFrame:
     return pages.where(good).withColumns({"host": host("final_url"), "html": html, "sha256": F.sha2("body", 256)})
 
 
+#: Bytes of a file that a task reads as one value.
+LARGE = 512 * 2**20
+
+
+def file_hashes(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """``path, length, sha256`` of every file below a folder.
+
+    A hash needs a file's bytes in order. Tasks hash files of up to ``LARGE`` bytes; beyond, a value would take a task's
+    memory, and from 2 GB on there is none, so the driver passes those through the hash as streams of any length.
+    """
+    files = spark.read.format("binaryFile").options(pathGlobFilter=pattern, recursiveFileLookup=True).load(folder)
+    small = files.where(F.col("length") <= LARGE).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = [(r.path, r.length, stream_hash(spark, r.path)) for r in files.where(F.col("length") > LARGE).select("path", "length").collect()]
+    return small.unionByName(spark.createDataFrame(large, "path string, length long, sha256 string")) if large else small
+
+
+def stream_hash(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file of any store that Spark reads, in constant memory."""
+    context = spark.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(context._jsc.hadoopConfiguration()).open(at)
+    try:
+        return context._jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+    finally:
+        stream.close()
+
+
 class StatusError(Exception):
     """An answer that is no page."""
 

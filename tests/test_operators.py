@@ -169,6 +169,21 @@ def test_bm25_top_matches_all_scores(spark, monkeypatch):
     assert len(want) == 72 and retrieval.bm25_top(queries.where("q = 50"), docs, "q", "d", "text", 6).count() == 0
 
 
+def test_large_files_are_hashed_as_streams(spark, tmp_path, monkeypatch):
+    """Files beyond what a task reads as one value, none of which is such a value."""
+    import hashlib
+
+    said = {"a b": b"x" * 100, "b": b"z", "c": bytes(range(256)) * 40}
+    for name, data in said.items():
+        (tmp_path / f"{name}.bin").write_bytes(data)
+    (tmp_path / "d.txt").write_bytes(b"y")
+    want = {(f"{n}.bin", len(d), hashlib.sha256(d).hexdigest()) for n, d in said.items()}
+    for most in (10**6, 100, 99, -1):
+        monkeypatch.setattr(files, "LARGE", most)
+        got = files.file_hashes(spark, str(tmp_path), "*.bin").collect()
+        assert {(pathlib.PurePosixPath(r.path).name, r.length, r.sha256) for r in got} == want and len(got) == 3
+
+
 def test_metrics(spark):
     ranked = spark.createDataFrame([(1, i, i) for i in range(1, 6)], "q int, i int, rank int")
     ranks = spark.createDataFrame([(1, 2, 5)], "q int, first_rank int, n_ranked int")
