@@ -127,6 +127,26 @@ def test_dense_ranking_matches_brute_force(spark):
         retrieval.reranked(corpus, "other", "i", F.lit(1))
 
 
+def test_dense_queries_stay_off_the_driver(spark, monkeypatch):
+    """Neither vectors nor the best items of the queries are fetched, and a block that got no query is empty."""
+    rows = [(i, [float(i % 7), 1.0], "ab"[i % 2]) for i in range(40)]
+    corpus = spark.createDataFrame(rows, "i long, v array<float>, l string")
+    queries = corpus.where("i % 20 = 0")
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 1)
+    asked = retrieval._blocks(queries, "i", "v", "l")
+    assert asked.n == 2 and sorted(i for n in range(6) for i in retrieval._block(asked.path, n).ids.tolist()) == [0, 20]
+
+    def fetched(*_):
+        raise AssertionError("rows come to the driver")
+
+    with monkeypatch.context() as m:
+        for name in ("collect", "toArrow", "toPandas", "toLocalIterator"):
+            m.setattr(type(corpus), name, fetched)
+        top, ranks = retrieval.dense_top(queries, corpus, "i", "i", "v", 2), retrieval.first_ranks(queries, corpus, None, "i", "i", "v", "l")
+    assert {(x.query_id, x.rank): x.item_id for x in top.collect()} == {(0, 1): 1, (0, 2): 2, (20, 1): 6, (20, 2): 13}
+    assert {x.query_id: (x.first_rank, x.n_ranked) for x in ranks.collect()} == {0: (2, 39), 20: (1, 39)}
+
+
 def test_dense_by_label_matches_brute_force(spark, monkeypatch):
     """Ranks, nearest ids and losses from bounded pieces: several blocks, pieces and trims, ties, and rows without vectors or labels."""
     for name, n in (("QUERY_BLOCK", 4), ("QUERIES", 3), ("CORPUS_ROWS", 7)):
