@@ -32,14 +32,19 @@ def bloom_filter(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def maybe_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The ``docs(doc_id, ...)`` whose id is among ``ids``, and a few others."""
-    filled = docs.sparkSession.sparkContext.broadcast(bloom_filter(ids))
+def among(ids: DataFrame):
+    """A function for tasks, which leaves of a batch the rows whose first column is among ``ids``, and a few others."""
+    filled = ids.sparkSession.sparkContext.broadcast(bloom_filter(ids))
 
-    def run(batches):
-        for batch in batches:
-            at = _places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            hit = (filled.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
-            yield batch.filter(pa.array(hit.all(0)))
+    def some(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at = _places(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        hit = (filled.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+        return batch.filter(pa.array(hit.all(0)))
+
+    return some
 
-    return map_batches(docs, run, docs.schema)
+
+def maybe_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The ``docs(doc_id, ...)`` whose id is among ``ids``, and a few others."""
+    some = among(ids)
+    return map_batches(docs, lambda batches: map(some, batches), docs.schema)

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pairloom.llm.bloom import maybe_in
+from pairloom.llm.bloom import among
 from pairloom.llm.textvec import Words, chunks, map_batches, mix
 from pairloom.operators.graph import connected_components
 from pairloom.storage import materialise
@@ -127,17 +127,21 @@ def _keys(s: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """``rep, sh``: the sets of the documents ``wanted(doc_id, k1, k2)``, as sorted 64-bit values."""
+    """``rep, sh``: the sets of the documents ``wanted(doc_id, k1, k2)``, as sorted 64-bit values.
+
+    Documents are chosen by the worker that reads them: a second one beside it would stay for all that follows.
+    """
+    some = among(wanted.select("doc_id"))
 
     def run(batches):
-        for batch in batches:
+        for batch in map(some, batches):
             for at, to, data, offs in chunks(batch.column(1)):
                 sets = list(shingle_sets(data, offs, k))
                 keys = [_keys(s) for s in sets]
                 columns = [batch.column(0).slice(at, to - at), *(pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1)), pa.array([s.tobytes() for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "sh"])
 
-    found = map_batches(maybe_in(docs, wanted.select("doc_id")).select("doc_id", "text"), run, "doc_id long, k1 long, k2 long, sh binary")
+    found = map_batches(docs.select("doc_id", "text"), run, "doc_id long, k1 long, k2 long, sh binary")
     found = found.join(wanted.select("doc_id", "k1", "k2"), ["doc_id", "k1", "k2"], "left_semi")
     return materialise(found.select(F.col("doc_id").alias("rep"), "sh"), "sets")
 

@@ -743,3 +743,16 @@ def test_cache_tells_words_of_one_hash_apart():
     for _ in range(2):
         rows = cache.rows(data, start, start + 1, np.zeros(5, np.uint64))
         assert cache.flat[cache.offs[rows]].tolist() == list(b"abcab")
+
+
+def test_sets_take_one_worker(spark, monkeypatch):
+    """Texts are chosen and shingled by one Python worker a task, and what is chosen is whole."""
+    from pairloom.llm import minhash
+
+    docs = spark.createDataFrame([(i, None if i == 3 else f"a b c d e f {i}") for i in range(20)], "doc_id long, text string")
+    sigs = minhash.signatures(docs, 5).where("doc_id % 4 = 3")
+    plans = []
+    monkeypatch.setattr(minhash, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    got = {r.rep: len(r.sh) // 8 for r in minhash._sets(docs, sigs.select("doc_id", "k1", "k2").localCheckpoint(), 5).collect()}
+    assert got == {3: 0, 7: 3, 11: 3, 15: 3, 19: 3}
+    assert plans[0].count("MapInArrow") == 1
